@@ -10,7 +10,10 @@ occur; an empty table gives an empty result; columns other than the id and the t
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,9 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 #: Distinct words that a worker remembers, and the bytes of the longest such word.
-CACHE_WORDS, CACHE_BYTES = 300_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+#: Words of Latin letters that composition leaves alone, and signs after them: one piece each for the tokenizer.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#%()]*)")
 #: Bytes of text that are looked up together.
 CHUNK = 4 << 20
 
@@ -43,10 +48,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write the UTF-8 of each Latin letter of ``PLAIN``: printable bytes as they are, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    sign = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordEncoder:
     """Ids of a tokenizer that never joins characters across ASCII white space.
 
-    Each distinct word is encoded once per worker, many at a time, and remembered in a bounded table.
+    Each distinct word is encoded once per worker, many at a time, and remembered in a bounded table. Where the
+    tokenizer lower-cases and splits letters from signs, words of plain letters go to its model alone.
     """
 
     def __init__(self, name: str):
@@ -58,9 +72,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+        parts = json.loads(self.tokenizer.to_str())
+        steps = parts["normalizer"].get("normalizers", []) if parts["normalizer"] else []
+        # the vocabulary's own splitter and normaliser, by their settings: anything else takes the general way
+        splitter = json.dumps(parts["pre_tokenizer"] or {})
+        self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in splitter and "ByteLevel" in splitter
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word, as little-endian unsigned 32-bit bytes."""
+        if not self.plain:
+            return self.learn_any(words)
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        out, rest, pieces = {}, [], {"": b""}
+        for w in words:
+            found = PLAIN.fullmatch(w.decode("utf-8", "replace"))
+            if not found:
+                rest.append(w)
+                continue
+            stem, signs = found.groups()
+            stem = stem.lower()
+            for piece in (stem, signs):
+                if piece not in pieces:
+                    ids = array("I", [t.id for t in tokenize(piece if piece.isascii() else piece.translate(letters))])
+                    pieces[piece] = np.asarray(ids, "<u4").tobytes()
+            out[w] = pieces[stem] + pieces[signs]
+        return out | self.learn_any(rest)
+
+    def learn_any(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """``learn`` for words of any kind, by the whole tokenizer."""
         out = {}
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
@@ -78,10 +118,12 @@ class WordEncoder:
         """Ids of each text, for texts in UTF-8."""
         split = [t.split() for t in texts]
         known = self.known
-        new = set().union(*split).difference(known)
+        words = set().union(*split)
+        new = words.difference(known)
         if len(known) + len(new) > CACHE_WORDS:
+            kept = {w: known[w] for w in words.difference(new)}
             known.clear()
-            new = set().union(*split)
+            known.update(kept)
         long = self.learn([w for w in new if len(w) > CACHE_BYTES])
         known.update(self.learn([w for w in new if len(w) <= CACHE_BYTES]))
         for words in split:

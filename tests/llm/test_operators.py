@@ -154,3 +154,10 @@ def test_forward_backward_against_all_labellings():
     weight = {k: math.exp(sum(good[t] * (k >> t & 1) for t in range(5)) + sum(moves[k >> t & 1, k >> t + 1 & 1] for t in range(4))) for k in range(32)}
     want = [sum(w for k, w in weight.items() if k >> t & 1) / sum(weight.values()) for t in range(5)]
     assert np.allclose(quality.forward_backward(good, moves)[0], want)
+
+
+def test_packing_words_encode_as_the_whole_tokenizer_does():
+    enc = packing.WordEncoder(packing.TOKENIZER)
+    words = ["Straße", "ÀÖx!!", "don't", "eder.'s", "(a)b", "J̌a", "ét", "x9", "ÿ", "İ", "AB,", "...", "ª", "µm", "×"]
+    raw = [w.encode() for w in words] + [b"\xff\xfe", "né".encode()]
+    assert enc.plain and enc.learn(raw) == enc.learn_any(raw)
