@@ -11,19 +11,62 @@ empty table gives an empty result; columns other than the id and the text are no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Characters of text that are encoded together.
 CHUNK = 1 << 20
 SECTIONS = "section array<int>, start array<int>, stop array<int>, n_tokens array<int>, n_crossing array<int>"
 
 
+def span_encoder(name: str) -> Callable[[str], np.ndarray]:
+    """A function from a text to the character spans of its tokens.
+
+    A vocabulary of ranks has the bytes of each token, so spans follow from the ids; a token that holds a part of a
+    character spans it all, as with tokenizer files.
+    """
+    import os
+
+    from corvane.llm.packing import tokenizer_file
+
+    if not name.endswith(".tiktoken"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(tokenizer_file(name))
+        whole.encode_special_tokens = True
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(tokenizer_file(name), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+
+    def spans(text: str) -> np.ndarray:
+        held = sizes[enc.encode_to_numpy(text, disallowed_special=())]
+        stops = np.cumsum(held)
+        starts = stops - held
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if len(raw) == len(text):
+            return np.stack([starts, stops], axis=1)
+        character = np.cumsum((raw & 0xC0) != 0x80)
+        return np.stack([character[starts] - 1, character[stops - 1]], axis=1)
+
+    return spans
+
+
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of a text's lines, without their line ends."""
     ends = np.array([len(x) for x in text.split("\n")], np.int64)
@@ -52,23 +95,15 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
     """``doc_id, doc_tokens, section, start, stop, n_tokens, n_crossing``; the last five are arrays over sections."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        from corvane.llm.packing import tokenizer_file
-
-        enc = Tokenizer.from_file(tokenizer_file(tokenizer))
-        enc.encode_special_tokens = True
+        encode = span_encoder(tokenizer)
 
         def result(some: list[tuple[int, str]]) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(7)]
             for doc, text in some:
                 starts, stops = lines_of(text)
-                found = enc.encode(text, add_special_tokens=False)
-                n, crossing = attribute(np.array(found.offsets, np.int64).reshape(-1, 2), starts, stops)
-                for col, x in zip(cols, (doc, len(found.ids), np.arange(len(n)), starts, stops, n, crossing)):
+                spans = encode(text)
+                n, crossing = attribute(spans, starts, stops)
+                for col, x in zip(cols, (doc, len(spans), np.arange(len(n)), starts, stops, n, crossing)):
                     col.append(x)
             kinds = [pa.int64()] * 2 + [pa.list_(pa.int32())] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "doc_tokens", "section", "start", "stop", "n_tokens", "n_crossing"])

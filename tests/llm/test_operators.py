@@ -161,3 +161,9 @@ def test_packing_words_encode_as_the_whole_tokenizer_does():
     words = ["Straße", "ÀÖx!!", "don't", "eder.'s", "(a)b", "J̌a", "ét", "x9", "ÿ", "İ", "AB,", "...", "ª", "µm", "×"]
     raw = [w.encode() for w in words] + [b"\xff\xfe", "né".encode()]
     assert enc.plain and enc.learn(raw) == enc.learn_any(raw)
+
+
+def test_spans_of_ranks_equal_the_tokenizer_files():
+    ranked, whole = tokencounts.span_encoder("byte_bpe_50k.tiktoken"), tokencounts.span_encoder("byte_bpe_50k.json")
+    for text in ("", "a 😀b́ ñ\n\n  x", "  \n a", "don't 12345 <|endoftext|>", "x" * 5000, "日本語 ab\r\n"):
+        assert ranked(text).tolist() == whole(text).tolist()
