@@ -137,12 +137,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_
     """Texts of each label: at most ``rows`` of the least hashed ids, while they have at most ``chars`` characters."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    joined = texts.join(known, "__id").withColumn("__h", F.xxhash64("__id", F.lit(11)))
+    # the join that picks the sample carries ids alone: texts are read for the picked ids only and never shuffled whole
+    joined = texts.select("__id").join(known, "__id").withColumn("__h", F.xxhash64("__id", F.lit(11)))
     out = {}
     for y in (0, 1):
-        ids = [r[0] for r in joined.filter(F.col("__y") == y).select("__id", "__h", F.length("__text").alias("n")).orderBy("__h", "__id").limit(rows).collect()] if rows else []
+        ids = [r[0] for r in joined.filter(F.col("__y") == y).select("__id", "__h").orderBy("__h", "__id").limit(rows).collect()] if rows else []
         got, left = [], chars
-        found = joined.filter((F.col("__y") == y) & F.col("__id").isin(ids)).select("__h", "__id", "__text").dropDuplicates(["__id"]) if ids else None
+        found = texts.filter(F.col("__id").isin(ids)).withColumn("__h", F.xxhash64("__id", F.lit(11))).dropDuplicates(["__id"]) if ids else None
         for r in found.orderBy("__h", "__id").toLocalIterator() if found is not None else ():
             left -= len(r["__text"])
             if left < 0 and got:
