@@ -172,22 +172,53 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def members(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+    """``fp, root`` of all fingerprints ``fp`` of ``prints``; a root names the component."""
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, distance, parts))
+    return materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "members")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, parts: int = PARTS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, distance, parts))
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    member = members(prints, distance, parts).join(least, "fp")
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = materialise(member.select("fp", "root").join(named, "root").select("fp", "component_id"), "members")
+    member = materialise(member.select("fp", "root").join(named, "root").select("fp", "component_id"), "named")
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def versions(docs: DataFrame, text_col: str = "text"):
+    """The XXH64 of the text, which with the id names a document."""
+    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+
+
+def firsts(docs: DataFrame, roots: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``roots`` (``version, root``, the latter null for a text alone).
+
+    It is that with the smallest id, null ids last, and of equal ids that with the smallest text hash.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("__d"), versions(docs, text_col).alias("__v")).distinct()
+    keyed = keyed.join(roots.select(F.col("version").alias("__v"), F.col("root").alias("__r")), "__v", "left")
+    best = F.struct(F.col("__d").isNull().alias("last"), F.col("__d").alias("d"), F.col("__v").alias("v"))
+    kept = keyed.groupBy(F.col("__r").isNull(), F.coalesce("__r", "__v")).agg(F.min(best).alias("__best")).select("__best.d", "__best.v")
+    kept = materialise(kept.select(F.col("d").alias("__d"), F.col("v").alias("__v")), "kept")
+    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__version": versions(docs, text_col)})
+    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left_semi")
+    return rows.dropDuplicates(["__id", "__version"]).drop("__id", "__version")
+
+
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with its smallest id (of repeated rows, one)."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """``docs`` with one row of each component (of repeated rows, one).
+
+    Rows are told apart by id and text: null ids, or texts that share an id, stay where their components differ.
+    """
+    # a text's hash stands in the place of its id
+    texts = docs.select(versions(docs, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialise(fingerprints(texts).distinct(), "prints")
+    roots = prints.join(members(prints), "fp").select(F.col("doc_id").alias("version"), "root")
+    return firsts(docs, roots, id_col=id_col, text_col=text_col)
 
 
-__all__ = ["bit_counts", "components", "fingerprint", "fingerprints", "forest", "links", "near_duplicates", "representatives"]
+__all__ = ["bit_counts", "components", "fingerprint", "fingerprints", "firsts", "forest", "links", "members", "near_duplicates", "representatives", "versions"]

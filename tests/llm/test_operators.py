@@ -66,6 +66,13 @@ def test_fingerprints_and_packing(docs, empty):
     assert packing.pack(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_representatives_tell_rows_apart_by_id_and_text(spark):
+    texts = [" ".join(f"w{(k * 37 + j * (k + 3)) % 997}x{k}" for j in range(40)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[3]), (None, None), (None, "")]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, "")])
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     sizes, room, want = np.random.default_rng(1).integers(1, 100, 200), [], {}
     for k in np.argsort(-sizes, kind="stable"):
