@@ -39,17 +39,22 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles, in order; none of a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     size = min(shingle, len(words))
     starts = [0, *(ends[: len(words) - size] + 1).tolist()]
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    hashes = shingles(text, shingle, seed)
     set_bits = np.flatnonzero(2 * bit_counts(hashes) > len(hashes))
     return int(np.bitwise_or.reduce(np.uint64(1) << set_bits.astype(np.uint64))) if len(set_bits) else 0
 
@@ -195,14 +200,14 @@ def versions(docs: DataFrame, text_col: str = "text"):
 
 
 def firsts(docs: DataFrame, roots: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of ``roots`` (``version, root``, the latter null for a text alone).
+    """``docs`` with one row of each component of ``roots`` (``version, root``); a version that is not there is a root itself.
 
     It is that with the smallest id, null ids last, and of equal ids that with the smallest text hash.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("__d"), versions(docs, text_col).alias("__v")).distinct()
     keyed = keyed.join(roots.select(F.col("version").alias("__v"), F.col("root").alias("__r")), "__v", "left")
     best = F.struct(F.col("__d").isNull().alias("last"), F.col("__d").alias("d"), F.col("__v").alias("v"))
-    kept = keyed.groupBy(F.col("__r").isNull(), F.coalesce("__r", "__v")).agg(F.min(best).alias("__best")).select("__best.d", "__best.v")
+    kept = keyed.groupBy(F.coalesce("__r", "__v")).agg(F.min(best).alias("__best")).select("__best.d", "__best.v")
     kept = materialise(kept.select(F.col("d").alias("__d"), F.col("v").alias("__v")), "kept")
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__version": versions(docs, text_col)})
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left_semi")
@@ -221,4 +226,4 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return firsts(docs, roots, id_col=id_col, text_col=text_col)
 
 
-__all__ = ["bit_counts", "components", "fingerprint", "fingerprints", "firsts", "forest", "links", "members", "near_duplicates", "representatives", "versions"]
+__all__ = ["bit_counts", "components", "fingerprint", "fingerprints", "firsts", "forest", "links", "members", "near_duplicates", "representatives", "shingles", "versions"]

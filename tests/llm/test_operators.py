@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import additive, decontamination, linededup, lm, packing, pii, quality, simhash, tokencounts, toxicity
+from corvane.llm import additive, decontamination, linededup, lm, neardup, packing, pii, quality, simhash, tokencounts, toxicity
 
 LINE = "this very line is on every site we know"
 LONG = " ".join(f"word{k} other{k % 7}" for k in range(3000))
@@ -73,6 +73,32 @@ def test_representatives_tell_rows_apart_by_id_and_text(spark):
     assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, "")])
 
 
+def test_near_dedup_finds_all_pairs_of_similarity_four_fifths(spark, empty):
+    import corpus_pipeline
+
+    rng, rows = np.random.default_rng(6), [(None, None), (90, " "), (91, "few words"), (92, "Few  words")]
+    for group in range(40):
+        base = rng.integers(0, 900, 60).tolist()
+        for k in range(4):
+            text = base.copy()
+            for at in rng.integers(0, 60, k * (group % 4)):
+                text[at] = int(rng.integers(0, 900))
+            rows.append((100 + group * 4 + k, " ".join(f"w{w}" for w in text)))
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[a] if r == root[b] else r for r in root]
+    want = {min((r[0] is None, r[0] or 0) for r, x in zip(rows, root) if x == g)[1] for g in set(root)}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)[corpus_pipeline.STAGES[2][0]](spark, table, "").collect()]
+    assert len(got) == len(want) == len(set(got)) and set(got) == want
+    assert neardup.representatives(empty).count() == 0
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     sizes, room, want = np.random.default_rng(1).integers(1, 100, 200), [], {}
     for k in np.argsort(-sizes, kind="stable"):
