@@ -3,8 +3,9 @@
 Full-dimensional codebooks are trained one after another on the residuals of a bounded sample. Every vector is
 normalised and encoded by beam search: the best few partial sums are kept at each codebook. A code's squared norm is
 stored. A query's inner products with all codewords make lookup tables; the score of a code is the sum of its entries
-over the stored norm. The best ``keep`` codes of each block are ranked anew by the exact cosine of the original
-vectors, so blocks merge exactly. Vectors and queries meet in blocks of bounded size, each pair in a group of its own.
+over the stored norm. The exact cosine is off that score by no more than the distance of the normalised vector from its
+normalised code. The best ``keep`` codes of each block give a bound for the ``k``-th cosine; every code that its score
+and distance let reach the bound is ranked by the exact cosine, so a block's result and the merged one are exact. Vectors and queries meet in blocks of bounded size, each pair in a group of its own.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most of the sample, or that hold null or
 non-finite components take no part; of repeated ids, each row is a candidate and ranks on its own except for the
@@ -22,8 +23,10 @@ from corvane.llm.storage import materialise
 
 #: The most vectors that train codebooks; codebooks, codewords of each, and partial sums kept while encoding.
 SAMPLE, BOOKS, WORDS, BEAM = 20_000, 16, 64, 6
-#: Rows and queries of a block, and codes of a block that are ranked exactly for a query.
+#: Rows and queries of a block, and codes of a block that give a query its bound.
 ROWS, QUERIES, KEEP = 8192, 1024, 400
+#: More than rounding adds to a score.
+SLACK = 1e-9
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -102,15 +105,24 @@ def search(
         r = r.sort_values("vec_id", kind="stable")
         ids, x, codes, norm = r["vec_id"].to_numpy(), np.array(r["v"].tolist()), np.array(r["codes"].tolist()), np.sqrt(np.maximum(r["norm"].to_numpy(), 1e-12))
         length = np.linalg.norm(x, axis=1)
+        sums = np.zeros_like(x)
+        for book, c in zip(shared.value, codes.T):
+            sums += book[c]
+        off = np.linalg.norm(x / length[:, None] - sums / norm[:, None], axis=1) + SLACK
         out = []
         for qid, y in zip(q["vec_id"].tolist(), q["v"]):
             y = np.asarray(y)
-            lut = shared.value @ y
+            lut = shared.value @ (y / np.linalg.norm(y))
             rough = lut[np.arange(codes.shape[1]), codes].sum(1) / norm
             rough[ids == qid] = -np.inf
+
+            def exact(at: np.ndarray) -> np.ndarray:
+                return (x[at] * y).sum(1) / (length[at] * np.linalg.norm(y))
+
             top = np.argpartition(-rough, min(keep, len(rough)) - 1)[:keep]
-            top = np.sort(top[rough[top] > -np.inf])
-            score = (x[top] * y).sum(1) / (length[top] * np.linalg.norm(y))
+            bound = np.sort(exact(top[rough[top] > -np.inf]))[::-1][k - 1 : k]
+            top = np.flatnonzero((rough > -np.inf) & (rough + off >= (bound[0] if len(bound) else -np.inf)))
+            score = exact(top)
             best = np.argsort(-score, kind="stable")[:k]
             out.append((np.full(len(best), qid), ids[top[best]], score[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))

@@ -158,6 +158,21 @@ def test_nearest_against_brute_force(spark):
     assert additive.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_many_copies_are_those_of_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    x[np.arange(3000) % 3 == 1] = x[1]
+    # a neighbour and copies that a cut at few codes loses
+    x[0] = x[1] + 0.01
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = additive.search(rows, F.col("vec_id").isin(0, 1, 2, 50), keep=20).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 1, 2, 50):
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -9
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def test_tokens_of_sections_add_up(docs, empty):
     for r in tokencounts.count(docs).collect():
         assert sum(r.n_tokens) == r.doc_tokens
