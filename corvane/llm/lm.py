@@ -1,8 +1,8 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Counts of words and word pairs are taken over all training rows, first within a task's runs of text and then across
-tasks. States are contexts of one word: an arc for each pair seen ``least_pairs`` times or more has the discounted
-probability; every other mass goes to the failure arc, whose weight times the unigram is exact backoff. The root's
+tasks. States are contexts of one word: an arc for each pair seen has the discounted probability, with discounts for
+counts of 1, 2 and more that follow from how many pairs have each count; every other mass goes to the failure arc, whose weight times the unigram is exact backoff. The root's
 unigrams are add-one smoothed with a share for unknown words. No model is gathered in one place: texts are dealt into
 blocks, a block asks for the arcs and states that occur in it, and its own small automaton is traversed once, left to
 right, with the last word as the state.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from corvane.llm.packing import in_chunks
 from corvane.llm.storage import materialise
 
-DISCOUNT, LEAST_PAIRS = 0.75, 2
+#: The discount where too few pairs are seen to tell.
+DISCOUNT = 0.75
 #: Bytes of text of a block.
 BLOCK = 8 << 20
 #: The ids of a text's beginning and end, and the multiplier that mixes a pair.
@@ -77,7 +78,17 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "kind byte, key long, before long, n long").groupBy("kind", "key", "before").agg(F.sum("n").alias("n"))
 
 
-def automaton(docs: DataFrame, discount: float = DISCOUNT, least_pairs: int = LEAST_PAIRS) -> tuple[DataFrame, int, int]:
+def discounts(pairs: dict[int, int], default: float = DISCOUNT) -> tuple[float, float, float]:
+    """Those of counts 1, 2 and more, of how many pairs have each count from 1 to 4; ``default`` for all if one has none."""
+    n = [pairs.get(k, 0) for k in range(1, 5)]
+    if not all(n):
+        return (default,) * 3
+    y = n[0] / (n[0] + 2 * n[1])
+    found = tuple(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))
+    return found if all(0 < d < k for k, d in enumerate(found, 1)) else (default,) * 3
+
+
+def automaton(docs: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, int, int]:
     """``kind, key, value``, the number of all tokens and of distinct ones.
 
     value: of a word (0) its count, of a pair's arc (1) its discounted probability, of a state (2) its failure weight.
@@ -86,9 +97,11 @@ def automaton(docs: DataFrame, discount: float = DISCOUNT, least_pairs: int = LE
     words = table.filter("kind = 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     pairs = table.filter("kind = 1")
-    kept = F.when(F.col("n") >= least_pairs, F.col("n") - discount).otherwise(0.0)
+    often = pairs.filter("n <= 4").groupBy("n").agg(F.count("*").alias("pairs")).collect()  # at most four rows
+    one, two, more = discounts({r["n"]: r["pairs"] for r in often}, discount)
+    kept = F.col("n") - F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
     states = materialise(pairs.groupBy("before").agg(F.sum("n").alias("total"), (1 - F.sum(kept) / F.sum("n")).alias("fail")), "states")
-    arcs = pairs.filter(F.col("n") >= least_pairs).join(states, "before").select(F.lit(1).cast("byte").alias("kind"), "key", ((F.col("n") - discount) / F.col("total")).alias("value"))
+    arcs = pairs.join(states, "before").select(F.lit(1).cast("byte").alias("kind"), "key", (kept / F.col("total")).alias("value"))
     model = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionAll(arcs)
     model = model.unionAll(states.select(F.lit(2).cast("byte").alias("kind"), F.col("before").alias("key"), F.col("fail").alias("value")))
     return materialise(model, "automaton"), int(total["n"]), int(total["v"])

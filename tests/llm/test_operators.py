@@ -136,6 +136,25 @@ def test_language_model_base_against_counts(docs, empty):
     assert lm.score(empty, F.col("doc_id") < 6).count() == 0
 
 
+def test_language_model_keeps_an_arc_of_every_seen_pair(spark):
+    # in the second table pairs of every count from 1 to 4 are seen, and the discounts follow from them
+    for texts in (["a b c", "a c b", "d"], [*["p q"] * 4, *["r s"] * 3, *["t u"] * 2, *["v w"] * 2, *[f"x{k} y{k} p" for k in range(9)]]):
+        tokens = [["<", *t.split(), ">"] for t in texts]
+        words, pairs = Counter(w for t in tokens for w in t[1:]), Counter(p for t in tokens for p in zip(t, t[1:]))
+        have = Counter(pairs.values())
+        y = have[1] / (have[1] + 2 * have[2]) if have[2] else 0
+        d = {k: k - (k + 1) * y * have[k + 1] / have[k] for k in (1, 2, 3)} if all(have[k] for k in (1, 2, 3, 4)) else {1: 0.75, 2: 0.75, 3: 0.75}
+        d = d if all(0 < d[k] < k for k in d) else {1: 0.75, 2: 0.75, 3: 0.75}
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()}
+        for at, t in enumerate(tokens):
+            want = 0
+            for a, b in zip(t, t[1:]):
+                own = [n for (x, _), n in pairs.items() if x == a]
+                fail = sum(d[min(n, 3)] for n in own) / sum(own)
+                want += math.log10((pairs[a, b] - d[min(pairs[a, b], 3)]) / sum(own) + fail * (words[b] + 1) / (words.total() + len(words) + 1))
+            assert abs(got[at] - want) < 1e-9
+
+
 def test_pair_probabilities_sum_to_one():
     # the root has a share for unknown words
     c, n = np.array([3.0, 2, 1]), np.array([4.0, 0, 2])
