@@ -1,16 +1,27 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts of words and word pairs are taken over all training rows, first within a task's runs of text and then across
-tasks. States are contexts of one word: an arc for each pair seen has the discounted probability, with discounts for
-counts of 1, 2 and more that follow from how many pairs have each count; every other mass goes to the failure arc, whose weight times the unigram is exact backoff. The root's
-unigrams are add-one smoothed with a share for unknown words. No model is gathered in one place: texts are dealt into
-blocks, a block asks for the arcs and states that occur in it, and its own small automaton is traversed once, left to
-right, with the last word as the state.
-
-Words are named by their XXH64 and pairs by a mix of two such hashes.
-
-Defined cases: null and empty texts are the end token alone; repeated rows are scored each; without training rows
-every token is unknown; an empty table gives an empty result; columns other than the id and text are not looked at.
+States are the contexts of up to two words that training saw, and the root. A state's arc for a word, one for each
+n-gram seen, has the probability of the word in that context; a word without an arc takes the failure arc, whose weight
+is the context's backoff mass, to the context without its first word, and looks again there. So a text costs one
+traversal from left to right that carries the state and adds the logarithms of what it passes.
+
+With ``c`` an n-gram's count and ``m`` its context's, ``p = (c + b(m) q) / (m + b(m))``, where ``q`` is the shorter
+context's probability: a failure arc weighs ``b(m) / (m + b(m))`` and every state's probabilities add up to one. ``b``
+is ``a * m ** e``, about how many different words follow a context of that count. The root is add-one smoothed, with a
+share for unknown words.
+
+No model is gathered in one place. Texts are dealt into blocks of bounded bytes, each one row of compressed word
+numbers. A block sends its distinct n-grams with their counts in its training texts, as sorted hashes coded by their
+differences, to the shards of the hash range; a shard adds them up and sends back the totals in the same order. From
+these a block builds its own part of the automaton and traverses it. A word is sent once for each block, so a frequent
+one is no hot key.
+
+Hashes have ``SPARE`` bits more than are needed to number all n-grams, so an unseen one is taken for a seen one with
+probability below ``2 ** -SPARE`` at every size of input.
+
+Defined cases: null and empty texts are the end token alone; repeated rows are scored, and learnt from, each; without
+training rows every token is unknown; a null training condition is false; an empty table gives an empty result;
+columns other than the id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -18,158 +29,275 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.packing import in_chunks
-from corvane.llm.storage import materialise
+from corvane.llm.storage import materialise, trimmed
 
-#: The discount where too few pairs are seen to tell.
-DISCOUNT = 0.75
-#: Bytes of text of a block.
-BLOCK = 8 << 20
-#: The ids of a text's beginning and end, and the multiplier that mixes a pair.
+#: ``a, e`` of the backoff mass after one word and after two; chosen on a fold of the training rows.
+MASS = ((3.0, 0.85), (1.5, 0.75))
+#: Bytes of text of a block, n-grams of all blocks that a shard adds up, and tokens that are traversed as one run.
+BLOCK, SHARD, RUN = 16 << 20, 3_000_000, 512
+SPARE = 22
+#: The hashes of a text's beginning and end, and the multiplier that mixes an n-gram.
 START, END, MIX = np.uint64(1), np.uint64(2), np.uint64(0x9E3779B97F4A7C15)
 
-
-def token_ids(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts' tokens, each text's closed by the end, and the number of tokens of each text."""
-    from xxhash import xxh64_intdigest
-
-    split = [t.lower().split() for t in texts]
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in set().union(*split).difference(known):
-        known[w] = xxh64_intdigest(w)
-    ids = np.fromiter((x for words in split for x in (*map(known.__getitem__, words), 2)), np.uint64, sum(map(len, split)) + len(split))
-    return ids, np.array([len(w) + 1 for w in split], np.int64)
+DEALT = "block long, ids array<long>, learn array<boolean>, sizes binary, words binary, seq binary, n long"
+SENT = "shard long, block long, kind int, keys binary, counts binary"
+ANSWER = "block long, shard long, kind int, counts binary, n long, v long"
 
 
-def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return before
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned integers, compressed plane by plane of their bytes."""
+    import zstandard
 
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    held = [k for k in range(8) if planes[k].any()]
+    return bytes([len(x) >> 8 * k & 255 for k in range(4)]) + bytes([sum(1 << k for k in held)]) + zstandard.ZstdCompressor(level=1).compress(planes[held].tobytes())
 
-def mix(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    x = (before ^ (before >> np.uint64(29))) * MIX + ids
-    return x ^ (x >> np.uint64(32))
 
+def unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``kind, key, before, n``: words (0) and pairs (1) of ``docs`` (``doc_id, text``)."""
+    n, held = int.from_bytes(raw[:4], "little"), [k for k in range(8) if raw[4] >> k & 1]
+    planes = np.zeros((8, n), np.uint8)
+    planes[held] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[5:], max_output_size=max(1, n * len(held))), np.uint8).reshape(-1, n) if n and held else 0
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            for _, some in in_chunks(batch.column(1).cast(pa.binary()).to_pylist(), BLOCK):
-                ids, sizes = token_ids(some, known)
-                before = contexts(ids, sizes)
-                words, n = np.unique(ids, return_counts=True)
-                pairs, first, m = np.unique(mix(before, ids), return_index=True, return_counts=True)
-                cols = [np.repeat(np.array([0, 1], np.int8), [len(words), len(pairs)]), np.concatenate([words, pairs]).view(np.int64)]
-                cols += [np.concatenate([np.zeros(len(words), np.int64), before[first].view(np.int64)]), np.concatenate([n, m]).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "before", "n"])
-
-    return docs.mapInArrow(of, "kind byte, key long, before long, n long").groupBy("kind", "key", "before").agg(F.sum("n").alias("n"))
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each distinct token, the tokens as places in it (each text closed by the end), and texts' sizes."""
+    from xxhash import xxh64_intdigest
 
-def discounts(pairs: dict[int, int], default: float = DISCOUNT) -> tuple[float, float, float]:
-    """Those of counts 1, 2 and more, of how many pairs have each count from 1 to 4; ``default`` for all if one has none."""
-    n = [pairs.get(k, 0) for k in range(1, 5)]
-    if not all(n):
-        return (default,) * 3
-    y = n[0] / (n[0] + 2 * n[1])
-    found = tuple(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))
-    return found if all(0 < d < k for k, d in enumerate(found, 1)) else (default,) * 3
+    known: dict[bytes, int] = {}
+    sizes, seq = np.empty(len(texts), np.int64), []
+    for k, text in enumerate(texts):
+        words = text.lower().split()
+        for w in words:
+            if w not in known:
+                known[w] = len(known) + 1
+        some = np.empty(len(words) + 1, np.uint32)
+        some[:-1] = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        some[-1] = 0
+        seq.append(some)
+        sizes[k] = len(words) + 1
+    hashes = np.fromiter((2, *map(xxh64_intdigest, known)), np.uint64, len(known) + 1)
+    return hashes, np.concatenate(seq) if seq else np.zeros(0, np.uint32), sizes
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """A row for each run of rows of about ``BLOCK`` bytes of ``docs`` (``doc_id, text, learn``)."""
+    names = [f.split()[0] for f in DEALT.split(", ")]
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, learn, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-def automaton(docs: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, int, int]:
-    """``kind, key, value``, the number of all tokens and of distinct ones.
+        def row() -> pa.RecordBatch:
+            words, seq, sizes = numbered(texts)
+            cols = [[block], [ids], [learn], [packed(sizes)], [packed(words)], [packed(seq)], [len(seq)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    value: of a word (0) its count, of a pair's arc (1) its discounted probability, of a state (2) its failure weight.
-    """
-    table = materialise(counted(docs), "ngrams")
-    words = table.filter("kind = 0")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = table.filter("kind = 1")
-    often = pairs.filter("n <= 4").groupBy("n").agg(F.count("*").alias("pairs")).collect()  # at most four rows
-    one, two, more = discounts({r["n"]: r["pairs"] for r in often}, discount)
-    kept = F.col("n") - F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
-    states = materialise(pairs.groupBy("before").agg(F.sum("n").alias("total"), (1 - F.sum(kept) / F.sum("n")).alias("fail")), "states")
-    arcs = pairs.join(states, "before").select(F.lit(1).cast("byte").alias("kind"), "key", (kept / F.col("total")).alias("value"))
-    model = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionAll(arcs)
-    model = model.unionAll(states.select(F.lit(2).cast("byte").alias("kind"), F.col("before").alias("key"), F.col("fail").alias("value")))
-    return materialise(model, "automaton"), int(total["n"]), int(total["v"])
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """``block, doc_id, text`` for runs of rows of about ``BLOCK`` bytes."""
+        for batch in batches:
+            for doc, text, use in zip(batch.column(0), batch.column(1), batch.column(2)):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if size and size + len(raw) > BLOCK:
+                    yield row()
+                    block, ids, learn, texts, size = block + 1, [], [], [], 0
+                ids.append(doc.as_py())
+                learn.append(bool(use.as_py()))
+                texts.append(raw)
+                size += len(raw) + 64
+        if texts:
+            yield row()
+
+    return docs.mapInArrow(trimmed(of), DEALT)
+
+
+def mix(context: np.ndarray, word: np.ndarray, mask: np.uint64) -> np.ndarray:
+    x = (context ^ (context >> np.uint64(29))) * MIX + word
+    return (x ^ (x >> np.uint64(32))) & mask
+
+
+class Block:
+    """The tokens of a block and the hashes of the n-grams that end at each."""
+
+    def __init__(self, row: dict, width: int):
+        mask = np.uint64((1 << width) - 1)
+        self.sizes, self.seq = unpacked(row["sizes"]).astype(np.int64), unpacked(row["seq"]).astype(np.int64)
+        self.words = unpacked(row["words"]) & mask
+        ends = np.cumsum(self.sizes)
+        self.first = ends - self.sizes
+        self.inner = np.ones(len(self.seq), bool)  # all but each text's first token, which no two tokens precede
+        self.inner[self.first] = False
+        self.learn = np.repeat(np.array(row["learn"], bool), self.sizes)
+        ids = self.words[self.seq]
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[self.first] = START
+        self.pairs = mix(before, ids, mask)
+        self.triples = mix(self.pairs[:-1], ids[1:], mask) if len(ids) else ids
+        self.triples = np.concatenate([np.zeros(min(1, len(ids)), np.uint64), self.triples])
+        self.texts = int(np.count_nonzero(self.learn[self.first])) if len(ids) else 0
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of words (with the beginning), pairs and triples, the distinct hashes in order and their counts in training."""
+        flag = np.uint64(1)
+        words = np.bincount(self.seq[self.learn], minlength=len(self.words))
+        order = np.argsort(self.words)
+        keys, counts = np.append(self.words[order], START), np.append(words[order], self.texts)
+        yield _merged(keys, counts)
+        for x, learn in ((self.pairs, self.learn), (self.triples[self.inner], self.learn[self.inner])):
+            both = np.sort(x << flag | learn.astype(np.uint64))
+            starts = _starts(both >> flag)
+            yield both[starts] >> flag, np.add.reduceat(both & flag, starts).astype(np.int64) if len(both) else np.zeros(0, np.int64)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Places where a new value begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = _starts(keys)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each element's place among the distinct values in order, and how many there are."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([np.zeros(min(1, len(keys)), np.int64), np.cumsum(ordered[1:] != ordered[:-1])])
+    out = np.empty(len(keys), np.int64)
+    out[order] = new
+    return out, int(new[-1]) + 1 if len(new) else 0
+
+
+def sent(blocks: DataFrame, width: int, bits: int) -> DataFrame:
+    """Each block's n-grams by shard, the first ``bits`` of a hash."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
-            numbers = []
-            for text in batch.column(1):
-                n = len(text.as_buffer()) if text.is_valid else 0
-                if size and size + n > BLOCK:
-                    block, size = block + 1, 0
-                numbers.append(block)
-                size += n + 64
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["block", "doc_id", "text"])
-
-    return docs.mapInArrow(of, "block long, doc_id long, text string")
-
+            for row in batch.to_pylist():
+                for kind, (keys, counts) in enumerate(Block(row, width).grams()):
+                    cuts = np.append(np.searchsorted(keys, edges), len(keys))
+                    held = np.flatnonzero(cuts[1:] > cuts[:-1])
+                    parts = [(keys[a:b], counts[a:b]) for a, b in zip(cuts[held].tolist(), cuts[held + 1].tolist())]
+                    cols = [held, np.full(len(held), row["block"]), np.full(len(held), kind, np.int32)]
+                    coded = [[packed(np.diff(k, prepend=np.uint64(0))) for k, _ in parts], [packed(c) for _, c in parts]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *(pa.array(c, pa.binary()) for c in coded)], [f.split()[0] for f in SENT.split(", ")])
+
+    return blocks.select("block", "learn", "sizes", "words", "seq").mapInArrow(trimmed(of), SENT)
+
+
+def answered(grams: DataFrame) -> DataFrame:
+    """What each block's n-grams count in all blocks, in the order they were sent; the sums of a shard's words beside."""
+
+    def of(part: pa.Table) -> pa.Table:
+        rows = part.select(["shard", "block", "kind"]).to_pylist()
+        keys = [np.cumsum(unpacked(k.as_py())) for k in part["keys"]]
+        places, n = _places(np.concatenate(keys))
+        counts = np.concatenate([unpacked(c.as_py()) for c in part["counts"]]).astype(np.int64)
+        totals = np.bincount(places, counts, n).astype(np.int64)
+        cuts = np.cumsum([0] + [len(k) for k in keys])
+        out = [(r["block"], r["shard"], r["kind"], packed(totals[places[a:b]]), 0, 0) for r, a, b in zip(rows, cuts, cuts[1:])]
+        if rows[0]["kind"] == 0:
+            found = np.zeros(n, np.uint64)
+            found[places] = np.concatenate(keys)
+            totals[found == START] = 0
+            out.append((None, rows[0]["shard"], 0, None, int(totals.sum()), int((totals > 0).sum())))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [f.split()[0] for f in ANSWER.split(", ")])
+
+    return grams.groupBy("shard", "kind").applyInArrow(of, ANSWER)
+
+
+class Automaton:
+    """A block's states and arcs: for each token the arcs that its three possible contexts may have for it.
+
+    ``arc[k]`` is the logarithm of a token's probability after ``k`` words, and ``seen[k]`` whether that arc exists;
+    ``fail[k]`` the weight of the failure arc of the state of the ``k`` words before it, and ``state[k]`` whether there
+    is that state. At the root every token has an arc.
+    """
 
-def score(docs: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: int, distinct: int, mass=MASS):
+        keys = _merged(np.append(block.words, START), np.zeros(len(block.words) + 1, np.int64))[0]
+        c0 = words[np.searchsorted(keys, block.words)][block.seq].astype(float) if len(block.seq) else np.zeros(0)
+        opening = float(words[np.searchsorted(keys, START)])
+        c1 = pairs[_places(block.pairs)[0]].astype(float)
+        c2 = np.zeros(len(c1))
+        c2[block.inner] = triples[_places(block.triples[block.inner])[0]]
+        m1, m2 = np.roll(c0, 1), np.roll(c1, 1)
+        m1[block.first], m2[block.first] = opening, 0
+        p = (c0 + 1) / (total + distinct + 1)
+        self.known, self.root = c0 > 0, np.log10(p)
+        self.arc, self.fail, self.seen, self.state = [self.root], [None], [None], [None]
+        for c, m, (a, e) in ((c1, m1, mass[0]), (c2, m2, mass[1])):
+            there, b = m > 0, a * m**e
+            # without a state the mass below is all there is
+            weight = np.divide(b, m + b, out=np.ones(len(m)), where=there)
+            p = np.divide(c, m + b, out=np.zeros(len(m)), where=there) + weight * p
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(weight))
+            self.seen.append(c > 0)
+            self.state.append(there)
+
+    def traverse(self, first: np.ndarray, sizes: np.ndarray, run: int = RUN) -> np.ndarray:
+        """The log probability of each text, from left to right.
+
+        Long texts are taken in runs side by side. A state is known by the two tokens before it, so a run that does not
+        begin a text starts in the state which reading those two leads to.
+        """
+        pieces = -(-sizes // run)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        begins = first[text] + run * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = np.minimum(begins + run, (first + sizes)[text])
+        order = np.argsort(begins - ends, kind="stable")  # longest first: those at work are always the foremost
+        at, ends = begins[order], ends[order]
+        state = np.where(self.state[2][at], 2, np.where(self.state[1][at], 1, 0))
+        logs = np.zeros(len(at))
+        while len(at):
+            for k in (2, 1):
+                here = state == k
+                miss = here & ~self.seen[k][at]
+                logs[: len(at)] += np.where(miss, self.fail[k][at], np.where(here, self.arc[k][at], 0.0))
+                # a hit leaves; a miss goes on to the shorter context, which has a state whenever the longer one has
+                state = np.where(miss, k - 1, np.where(here, 9, state))
+            logs[: len(at)] += np.where(state == 0, self.root[at], 0.0)
+            at = at + 1
+            more = int(np.count_nonzero(at < ends[: len(at)]))
+            at = at[:more]
+            state = np.where(self.state[2][at], 2, np.where(self.state[1][at], 1, 0))
+        out = np.zeros(len(sizes))
+        np.add.at(out, text[order], logs)
+        return out
+
+
+def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", mass=MASS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row; ``training`` is a condition."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), training.alias("learn"))
-    model, total, distinct = automaton(source.filter("learn").select("doc_id", "text"))
-    dealt = materialise(blocks(source.select("doc_id", "text")), "blocks")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            numbers, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(texts)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                ids, sizes = token_ids([t or b"" for t in texts[a:b]], known)
-                before = contexts(ids, sizes)
-                found = [np.unique(ids), np.unique(mix(before, ids)), np.unique(before)]
-                kinds = np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), numbers[a])), pa.array(kinds), pa.array(np.concatenate(found).view(np.int64))], ["block", "kind", "key"])
-
-    wanted = dealt.select("block", "text").mapInArrow(asked, "block long, kind byte, key long")
-    answers = wanted.join(model, ["kind", "key"]).select("block", "kind", "key", "value")
-    scale = np.log10(float(total + distinct + 1))
-    unseen = 1.0 / (total + distinct + 1)
-
-    def traverse(texts: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes = token_ids([(t or "").encode() for t in texts["text"]], {})
-        before = contexts(ids, sizes)
-
-        def look(kind: int, keys: np.ndarray, default: float) -> np.ndarray:
-            part = arcs[arcs["kind"] == kind].drop_duplicates("key").sort_values("key")
-            have, values, keys = part["key"].to_numpy(), part["value"].to_numpy(), keys.view(np.int64)
-            if not len(have):
-                return np.full(len(keys), default)
-            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            return np.where(have[at] == keys, values[at], default)
-
-        c = look(0, ids, 0.0)
-        root = (c + 1) * unseen
-        arc, fail = look(1, mix(before, ids), 0.0), look(2, before, 1.0)
-        # a state with an arc for the word takes it and, as the mass is interpolated, the failure arc's share too
-        logs = np.log10(arc + fail * root)
-        first = np.cumsum(sizes) - sizes
-        sums = lambda x: np.add.reduceat(x, first) if len(first) else x
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": sizes, "n_known": sums((c > 0).astype(np.int64)), "train_tokens": total, "base_score": sums(np.log10(c + 1) - scale), "score": sums(logs)})
-
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
+    blocks = materialise(dealt(source), "blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    width = (3 * tokens + 1).bit_length() + SPARE
+    bits = min(20, (2 * tokens // SHARD).bit_length())
+    answers = materialise(answered(sent(blocks, width, bits)), "answers")
+    sums = answers.filter("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    total, distinct = int(sums[0]), int(sums[1])
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(traverse, schema)
+
+    def scored(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        row, got = mine.to_pylist()[0], theirs.sort_by("shard")
+        block = Block(row, width)
+        counts = [np.concatenate([np.zeros(0, np.uint64), *(unpacked(c.as_py()) for k, c in zip(got["kind"], got["counts"]) if k.as_py() == kind)]) for kind in range(3)]
+        machine = Automaton(block, *counts, total, distinct, mass)
+        sums = lambda x: np.add.reduceat(x, block.first)
+        cols = [pa.array(row["ids"], pa.int64()), block.sizes, sums(machine.known.astype(np.int64)), np.full(len(block.sizes), total), sums(machine.root), machine.traverse(block.first, block.sizes)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in schema.split(", ")])
+
+    mine = blocks.select("block", "ids", "learn", "sizes", "words", "seq").groupBy("block")
+    return mine.cogroup(answers.filter("block is not null").select("block", "shard", "kind", "counts").groupBy("block")).applyInArrow(scored, schema)
