@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm.storage import materialise, trimmed
 
 #: ``a, e`` of the backoff mass after one word and after two; chosen on a fold of the training rows.
-MASS = ((3.0, 0.85), (1.5, 0.75))
+MASS = ((6.0, 0.95), (2.0, 0.9))
 #: Bytes of text of a block, n-grams of all blocks that a shard adds up, and tokens that are traversed as one run.
 BLOCK, SHARD, RUN = 16 << 20, 3_000_000, 512
 SPARE = 22
