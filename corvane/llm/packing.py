@@ -23,18 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import materialise
+from corvane.llm.storage import materialise, trimmed
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-#: Distinct words that a worker remembers, and the bytes of the longest such word.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+#: Bytes beyond which a worker forgets words, and the bytes of the longest word that it remembers.
+CACHE_BYTES, WORD_BYTES = 32 << 20, 48
 #: Words of Latin letters that composition leaves alone, and signs after them: one piece each for the tokenizer.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#%()]*)")
 #: Bytes of text that are looked up together.
 CHUNK = 4 << 20
+#: What stands for the end of a word among the ranks; plain words do not hold it.
+END_MARK = "\x7f"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 
@@ -48,19 +50,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_letters() -> dict[int, str]:
-    """How byte-level models write the UTF-8 of each Latin letter of ``PLAIN``: printable bytes as they are, others from U+0100 on."""
+def byte_signs() -> dict[int, str]:
+    """How byte-level models write each byte: printable ones as they are, others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in printable]
-    sign = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of a tokenizer that never joins characters across ASCII white space.
 
-    Each distinct word is encoded once per worker, many at a time, and remembered in a bounded table. Where the
-    tokenizer lower-cases and splits letters from signs, words of plain letters go to its model alone.
+    Each distinct word is encoded once and remembered in a table of bounded bytes. Where the tokenizer lower-cases,
+    splits letters from signs and marks the ends of words, words of plain letters go through its ranks, all at once.
     """
 
     def __init__(self, name: str):
@@ -72,19 +73,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-        self.letters = byte_letters()
+        self.held = 0
         parts = json.loads(self.tokenizer.to_str())
         steps = parts["normalizer"].get("normalizers", []) if parts["normalizer"] else []
         # the vocabulary's own splitter and normaliser, by their settings: anything else takes the general way
         splitter = json.dumps(parts["pre_tokenizer"] or {})
         self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in splitter and "ByteLevel" in splitter
+        if self.plain:
+            self.ranked = self.ranks(parts["model"])
+
+    def ranks(self, model: dict):
+        """The model's merges in the order of their ids, with ``END_MARK`` for the end of a word."""
+        import tiktoken
+
+        raw = {sign: bytes([b]) for b, sign in byte_signs().items()}
+        suffix = model["end_of_word_suffix"]
+        held = {}
+        for token, at in model["vocab"].items():
+            stem = token.removesuffix(suffix) if token != suffix else token
+            if all(c in raw for c in stem):
+                held[b"".join(raw[c] for c in stem) + (END_MARK.encode() if token.endswith(suffix) else b"")] = at
+        # a token that already holds the mark's byte does not occur in plain words, but for the byte itself
+        self.closes = np.zeros(max(held.values()) + 1, bool)
+        self.closes[[at for token, at in held.items() if len(token) > 1 and token.endswith(END_MARK.encode())]] = True
+        return tiktoken.Encoding("plain", pat_str=f"[^{END_MARK}]+{END_MARK}", mergeable_ranks=held, special_tokens={})
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word, as little-endian unsigned 32-bit bytes."""
         if not self.plain:
             return self.learn_any(words)
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        out, rest, pieces = {}, [], {"": b""}
+        rest, split, pieces = [], [], {}
         for w in words:
             found = PLAIN.fullmatch(w.decode("utf-8", "replace"))
             if not found:
@@ -92,12 +110,15 @@ class WordEncoder:
                 continue
             stem, signs = found.groups()
             stem = stem.lower()
-            for piece in (stem, signs):
-                if piece not in pieces:
-                    ids = array("I", [t.id for t in tokenize(piece if piece.isascii() else piece.translate(letters))])
-                    pieces[piece] = np.asarray(ids, "<u4").tobytes()
-            out[w] = pieces[stem] + pieces[signs]
-        return out | self.learn_any(rest)
+            pieces[stem] = pieces[signs] = b""
+            split.append((w, stem, signs))
+        pieces.pop("", None)
+        raw = self.ranked.encode_to_numpy(END_MARK.join([*pieces, ""])).astype("<u4") if pieces else np.zeros(0, "<u4")
+        stops = (4 * (np.flatnonzero(self.closes[raw]) + 1)).tolist()
+        raw = raw.tobytes()
+        pieces = dict(zip(pieces, (raw[a:b] for a, b in zip([0, *stops], stops))))
+        pieces[""] = b""
+        return {w: pieces[stem] + pieces[signs] for w, stem, signs in split} | self.learn_any(rest)
 
     def learn_any(self, words: list[bytes]) -> dict[bytes, bytes]:
         """``learn`` for words of any kind, by the whole tokenizer."""
@@ -117,20 +138,27 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, for texts in UTF-8."""
         split = [t.split() for t in texts]
-        known = self.known
         words = set().union(*split)
+        if self.held > CACHE_BYTES:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.held = sum(map(_size, self.known.items()))
+        known = self.known
         new = words.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            kept = {w: known[w] for w in words.difference(new)}
-            known.clear()
-            known.update(kept)
-        long = self.learn([w for w in new if len(w) > CACHE_BYTES])
-        known.update(self.learn([w for w in new if len(w) <= CACHE_BYTES]))
-        for words in split:
-            if long:
-                yield b"".join([known[w] if len(w) <= CACHE_BYTES else long[w] for w in words])
-            else:
-                yield b"".join([known[w] for w in words])
+        del words
+        known.update(self.learn([w for w in new if len(w) <= WORD_BYTES]))
+        self.held += sum(_size((w, known[w])) for w in new if len(w) <= WORD_BYTES)
+        long = self.learn([w for w in new if len(w) > WORD_BYTES])
+        look = known.__getitem__ if not long else lambda w: known[w] if len(w) <= WORD_BYTES else long[w]
+        for some in split:
+            yield b"".join(map(look, some))
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
+
+def _size(entry: tuple[bytes, bytes]) -> int:
+    """About what an entry takes: two objects' heads and a place in the table, besides the bytes."""
+    return 200 + len(entry[0]) + len(entry[1])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -142,11 +170,11 @@ def encoder(name: str) -> WordEncoder:
     return _ENCODERS[name]
 
 
-def in_chunks(texts: list[bytes | None], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+def in_chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of consecutive texts of about ``most`` bytes, with the place of the first; null is empty."""
     some, first, size = [], 0, 0
     for k, text in enumerate(texts):
-        some.append(text or b"")
+        some.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
         size += len(some[-1])
         if size >= most:
             yield first, some
@@ -161,8 +189,8 @@ def _cutter(name: str, sequence: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(name), TaskContext.get().partitionId() << 34
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for first, some in in_chunks(texts):
+            ids = batch.column(0).to_pylist()
+            for first, some in in_chunks(batch.column(1)):
                 rows = []
                 for doc, raw in zip(ids[first : first + len(some)], enc.encode(some)):
                     raw += end
@@ -174,8 +202,9 @@ def _cutter(name: str, sequence: int, end_id: int, keep_ids: bool):
                 cols = list(zip(*rows))
                 arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + ([pa.array(cols[6], pa.binary())] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * keep_ids)
+        enc.forget()
 
-    return cut
+    return trimmed(cut)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
