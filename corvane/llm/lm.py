@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import materialise, trimmed
+from corvane.llm.storage import materialise, release, trimmed
 
 #: ``a, e`` of the backoff mass after one word and after two; chosen on a fold of the training rows.
 MASS = ((6.0, 0.95), (2.0, 0.9))
 #: Bytes of text of a block, n-grams of all blocks that a shard adds up, and tokens that are traversed as one run.
-BLOCK, SHARD, RUN = 16 << 20, 3_000_000, 512
+BLOCK, SHARD, RUN = 8 << 20, 2_000_000, 512
 SPARE = 22
 #: The hashes of a text's beginning and end, and the multiplier that mixes an n-gram.
 START, END, MIX = np.uint64(1), np.uint64(2), np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +126,7 @@ class Block:
 
     def __init__(self, row: dict, width: int):
         mask = np.uint64((1 << width) - 1)
-        self.sizes, self.seq = unpacked(row["sizes"]).astype(np.int64), unpacked(row["seq"]).astype(np.int64)
+        self.sizes, self.seq = unpacked(row["sizes"]).astype(np.int64), unpacked(row["seq"]).astype(np.int32)
         self.words = unpacked(row["words"]) & mask
         ends = np.cumsum(self.sizes)
         self.first = ends - self.sizes
@@ -171,8 +171,9 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Each element's place among the distinct values in order, and how many there are."""
     order = np.argsort(keys)
     ordered = keys[order]
-    new = np.concatenate([np.zeros(min(1, len(keys)), np.int64), np.cumsum(ordered[1:] != ordered[:-1])])
-    out = np.empty(len(keys), np.int64)
+    new = np.zeros(len(keys), np.int32)
+    np.cumsum(ordered[1:] != ordered[:-1], out=new[1:], dtype=np.int32)
+    out = np.empty(len(keys), np.int32)
     out[order] = new
     return out, int(new[-1]) + 1 if len(new) else 0
 
@@ -212,6 +213,8 @@ def answered(grams: DataFrame) -> DataFrame:
             totals[found == START] = 0
             out.append((None, rows[0]["shard"], 0, None, int(totals.sum()), int((totals > 0).sum())))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        del keys, places, counts, totals
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [f.split()[0] for f in ANSWER.split(", ")])
 
     return grams.groupBy("shard", "kind").applyInArrow(of, ANSWER)
@@ -227,23 +230,28 @@ class Automaton:
 
     def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: int, distinct: int, mass=MASS):
         keys = _merged(np.append(block.words, START), np.zeros(len(block.words) + 1, np.int64))[0]
-        c0 = words[np.searchsorted(keys, block.words)][block.seq].astype(float) if len(block.seq) else np.zeros(0)
         opening = float(words[np.searchsorted(keys, START)])
-        c1 = pairs[_places(block.pairs)[0]].astype(float)
-        c2 = np.zeros(len(c1))
-        c2[block.inner] = triples[_places(block.triples[block.inner])[0]]
-        m1, m2 = np.roll(c0, 1), np.roll(c1, 1)
-        m1[block.first], m2[block.first] = opening, 0
-        p = (c0 + 1) / (total + distinct + 1)
-        self.known, self.root = c0 > 0, np.log10(p)
+        # arrays of all tokens follow; each goes as soon as it is not needed
+        c = words[np.searchsorted(keys, block.words)].astype(float)[block.seq]
+        p = (c + 1) / (total + distinct + 1)
+        self.known, self.root = c > 0, np.log10(p)
         self.arc, self.fail, self.seen, self.state = [self.root], [None], [None], [None]
-        for c, m, (a, e) in ((c1, m1, mass[0]), (c2, m2, mass[1])):
+        for order, (a, e) in enumerate(mass):
+            m = np.roll(c, 1)
+            m[block.first] = 0 if order else opening
+            if order:
+                c[:] = 0
+                c[block.inner] = triples[_places(block.triples[block.inner])[0]]
+            else:
+                c = pairs[_places(block.pairs)[0]].astype(float)
             there, b = m > 0, a * m**e
+            m += b
             # without a state the mass below is all there is
-            weight = np.divide(b, m + b, out=np.ones(len(m)), where=there)
-            p = np.divide(c, m + b, out=np.zeros(len(m)), where=there) + weight * p
+            weight = np.divide(b, m, out=np.ones(len(m)), where=there)
+            p *= weight
+            p += np.divide(c, m, out=np.zeros(len(m)), where=there)
             self.arc.append(np.log10(p))
-            self.fail.append(np.log10(weight))
+            self.fail.append(np.log10(weight, out=weight))
             self.seen.append(c > 0)
             self.state.append(there)
 
@@ -297,7 +305,10 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         machine = Automaton(block, *counts, total, distinct, mass)
         sums = lambda x: np.add.reduceat(x, block.first)
         cols = [pa.array(row["ids"], pa.int64()), block.sizes, sums(machine.known.astype(np.int64)), np.full(len(block.sizes), total), sums(machine.root), machine.traverse(block.first, block.sizes)]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in schema.split(", ")])
+        out = pa.Table.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in schema.split(", ")])
+        del block, machine, counts, cols
+        release()
+        return out
 
     mine = blocks.select("block", "ids", "learn", "sizes", "words", "seq").groupBy("block")
     return mine.cogroup(answers.filter("block is not null").select("block", "shard", "kind", "counts").groupBy("block")).applyInArrow(scored, schema)
