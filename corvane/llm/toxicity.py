@@ -1,20 +1,21 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
 
-Training takes a bounded sample of labelled documents. Windows of ordinary documents train the ordinary dictionary. A
-toxic document is mostly ordinary text too, so the toxic dictionary is that content and, after it, the words of toxic
-documents with pieces that toxic documents have far oftener. The dictionaries are used as plain content. Each window of a text is compressed with
-both; the differences of lengths become a few figures of a document, whose threshold and slope a logistic fit
-calibrates on the training documents that trained no dictionary.
+Training takes a bounded sample of labelled documents. One dictionary is trained on windows of ordinary documents alone,
+the other on windows of toxic documents alone: on all of them at first and then, since a toxic document is mostly
+ordinary text too, in rounds on those that the toxic dictionary of other documents shortens, by the gain that tells
+them from windows of ordinary documents best. The dictionaries are used as plain content. Each window of a text
+is compressed with the ordinary dictionary and with the toxic one beside it, so what they differ by is what the toxic
+dictionary alone has; the differences of lengths become a few figures of a document, whose threshold and slope a logistic
+fit calibrates on documents that trained neither dictionary (each fold by the dictionaries of the others).
 
 Defined cases: null and empty texts have no windows and get the score of no difference at all; repeated rows get the
 same score; an empty table gives an empty result; without both labels among the training rows every score is 0;
 columns other than the id and the text are not looked at; labels with a null id or label are left out; of clashing
-labels of one document, the largest holds.
+labels of one document, the largest holds; of texts that share an id, the one of the least hash is learnt from.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +23,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from corvane.llm.storage import trimmed
 
 #: The most labelled documents of each label that training collects, those of the least hashed ids, and the most
 #: characters of such a sample.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 24_000_000
-WINDOW_BYTES, DICT_BYTES, LEVEL = 24, 32768, 3
+WINDOW_BYTES, LEVEL = 32, 3
+#: The most bytes of the ordinary and of the toxic dictionary.
+ORDINARY_BYTES, TOXIC_BYTES = 110_000, 2048
+#: Bytes of a training sample and of a dictionary's segments, and the fewest samples that the trainer takes.
+SAMPLE_BYTES, SEGMENT, LEAST_SAMPLES = 1024, 16, 256
+#: Rounds of choosing toxic windows.
+ROUNDS = 6
+#: Bytes of a part of the toxic dictionary that is judged alone, windows that judge it, the gain that counts, and how
+#: many times as often as in ordinary windows it must occur.
+PART, JUDGES, LEAST_GAIN, OFTENER = 24, 6000, 3, 4.0
+#: Folds of the labelled documents that calibrate.
+FOLDS = 4
 #: Differences of lengths, in bytes, over which windows are counted.
-#: Bytes of a word's pieces; the log odds, and how many standard errors of them, that mark a piece as toxic.
-STEM, ODDS, SURE = 5, 3.5, 2.5
 STEPS = (2, 3, 4, 5, 6, 8, 10)
 
 
@@ -58,25 +69,86 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def stems(word: bytes) -> list[bytes]:
-    """A word's opening, and each run of ``STEM`` bytes in it."""
-    word = b" " + word
-    return [word[k : k + STEM] for k in range(max(1, len(word) - STEM + 1))]
+def dictionary(some: list[bytes], most: int) -> bytes:
+    """The content of a dictionary trained on windows, without its tables; the longer the more windows there are."""
+    import zstandard as z
+
+    # the trainer passes over samples that are shorter than its segments, and ends early in text that repeats itself
+    held = b" ".join(dict.fromkeys(some)) or b"-" * SAMPLE_BYTES
+    samples = [held[k : k + SAMPLE_BYTES] for k in range(0, len(held), SAMPLE_BYTES)]
+    size = min(most, max(1024, len(held) // 8))
+    samples *= -(-LEAST_SAMPLES // len(samples)) if len(samples) < LEAST_SAMPLES else 1
+    return z.train_dictionary(size, samples, k=SEGMENT, d=8, level=LEVEL).as_bytes()[-size:]
+
+
+def measure(content: bytes):
+    """A function from a window to its compressed length with a dictionary."""
+    import zstandard as z
+
+    made = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(level=LEVEL)
+    compress = z.ZstdCompressor(dict_data=made, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return lambda window: len(compress(window))
+
+
+def gains(ordinary, toxic, some: list[bytes]) -> np.ndarray:
+    """By how many bytes the toxic dictionary shortens each window more."""
+    return np.fromiter((ordinary(w) - toxic(w) for w in some), np.int64, len(some))
+
+
+def thinned(some: list[bytes], most: int = 100_000) -> list[bytes]:
+    """At most ``most`` windows, evenly."""
+    return some[:: -(-len(some) // most)] if some else some
+
+
+def choose(found: np.ndarray, contrast: np.ndarray) -> np.ndarray:
+    """The windows of the gain, or a larger one, that tells most about coming from ``found`` and not from the contrast."""
+    best, picked = 0.0, np.zeros(len(found), bool)
+    for least in range(2, WINDOW_BYTES):
+        held = found >= least
+        a, b = held.mean(), ((contrast >= least).sum() + 1) / (len(contrast) + 1)
+        if held.sum() >= 10 and a > b and a * np.log(a / b) > best:
+            best, picked = a * np.log(a / b), held
+    return picked
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """The content of the toxic and of the ordinary dictionary."""
+    plain = dictionary(thinned([w for t in ordinary[0::2] for w in windows(t)]), ORDINARY_BYTES)
+    contrast = thinned([w for t in ordinary[1::2] or ordinary for w in windows(t)], 40_000)
+    halves = [thinned([w for t in part for w in windows(t)], 40_000) for part in (toxic[0::2], toxic[1::2] or toxic)]
+    picks, base = halves, measure(plain)
+    for _ in range(rounds):
+        chosen = []
+        for mine, others in zip(halves, picks[::-1]):
+            other = measure(plain + dictionary(others, TOXIC_BYTES))
+            held = choose(gains(base, other, mine), gains(base, other, contrast))
+            chosen.append([w for w, yes in zip(mine, held) if yes])
+        if not all(chosen):
+            break
+        picks = chosen
+    return telling(dictionary(picks[0] + picks[1], TOXIC_BYTES), plain, thinned(halves[0] + halves[1], JUDGES), thinned(contrast, JUDGES)), plain
+
+
+def telling(content: bytes, plain: bytes, found: list[bytes], contrast: list[bytes]) -> bytes:
+    """The parts of a toxic dictionary that, each alone beside the ordinary one, shorten toxic windows far oftener."""
+    base, kept = measure(plain), []
+    before = [np.fromiter(map(base, some), np.int64, len(some)) for some in (found, contrast)]
+    for at in range(0, len(content), PART // 2):
+        other = measure(plain + content[at : at + PART])
+        a, b = (int((lengths - np.fromiter(map(other, some), np.int64, len(some)) >= LEAST_GAIN).sum()) for lengths, some in zip(before, (found, contrast)))
+        if a >= 3 and a / len(found) > OFTENER * (b + 0.5) / len(contrast):
+            kept.append((a, content[at : at + PART]))
+    # the end of a dictionary is the cheapest to refer to
+    return b" ".join(part for _, part in sorted(kept)) or content
 
 
 class Scorer:
     def __init__(self, model: Model):
-        import zstandard as z
-
-        self.model, self.ends = model, []
-        for raw in (model.ordinary, model.toxic):
-            made = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(level=LEVEL)
-            self.ends.append(z.ZstdCompressor(dict_data=made, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        self.model, self.ends = model, (measure(model.ordinary), measure(model.ordinary + model.toxic))
 
     def features(self, text: bytes) -> np.ndarray:
-        a, b = self.ends
-        gain = np.array([len(a(w)) - len(b(w)) for w in windows(text)], float)
+        gain = gains(*self.ends, windows(text)).astype(float)
         if not len(gain):
             return np.zeros(len(STEPS) * 2 + 2)
         over = np.array([(gain >= s).sum() for s in STEPS], float)
@@ -87,49 +159,26 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(x @ self.model.weights + self.model.bias, -30, 30))))
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Half of the documents train the dictionaries, all the others calibrate."""
-    import zstandard as z
-
-    halves = [(d[0::2], d[1::2] or d) for d in (toxic, ordinary)]
-    n = [len(d) for d, _ in halves]
-    df = [Counter(g for t in d for g in {g for w in set(t.lower().split()) for g in stems(w)}) for d, _ in halves]
-    least = max(3, 0.01 * n[0])
-    # stems that toxic documents have far oftener than ordinary ones, by more than chance
-    odds = {g: (np.log((c + 0.5) / (n[0] + 1)) - np.log((df[1][g] + 0.5) / (n[1] + 1)), (1 / (c + 0.5) + 1 / (df[1][g] + 0.5)) ** 0.5) for g, c in df[0].items() if c >= least}
-    strong = {g for g, (o, e) in odds.items() if o > ODDS and o > SURE * e}
-    # how often each word with such a stem occurs, in each half that trains dictionaries
-    words = Counter(w for t in halves[0][0] for w in t.lower().split() if not strong.isdisjoint(stems(w)))
-    plain = [w for t in halves[1][0] for w in windows(t)]
-    plain = plain[:: max(1, len(plain) // 40_000)]
-
-    def dictionary(samples: list[bytes], size: int) -> bytes:
-        """The content of a trained dictionary, without its tables."""
-        samples = samples or [b"-" * 16]
-        while len(samples) < 2000:
-            samples = samples + samples
-        made = z.train_dictionary(size, samples, k=32, d=8, level=LEVEL).as_bytes()
-        return made[-size * 9 // 10 :]
-
-    common = dictionary(plain, DICT_BYTES)
-    # zstandard reaches the end of a dictionary most cheaply: the most frequent words come last
-    marked, size = [], 0
-    for w, _ in words.most_common():
-        size += len(w) + 1
-        if size > DICT_BYTES:
-            break
-        marked.append(w)
-    model = Model(common + b" " + b" ".join(reversed(marked)) + b" ", common, None, None, None, 0.0)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for _, d in halves for t in d])
-    y = np.array([1.0] * len(halves[0][1]) + [0.0] * len(halves[1][1]))
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
+def train(toxic: list[bytes], ordinary: list[bytes], odds: float | None = None, folds: int = FOLDS) -> Model:
+    """Dictionaries of all documents, calibrated by folds: each fold's figures are of the other folds' dictionaries.
+
+    ``odds`` are those of toxic to ordinary documents, where the sample's differ from them.
+    """
+    x, y = [], []
+    for k in range(folds):
+        rest = [[t for j, t in enumerate(d) if j % folds != k] or d for d in (toxic, ordinary)]
+        scorer = Scorer(Model(*dictionaries(*rest), None, None, None, 0.0))
+        for label, some in ((1.0, toxic), (0.0, ordinary)):
+            x += [scorer.features(t) for t in some[k::folds]]
+            y += [label] * len(some[k::folds])
+    x, y = np.array(x), np.array(y)
+    model = Model(*dictionaries(toxic, ordinary), x.mean(0), x.std(0) + 1e-6, None, 0.0)
     x = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
     w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-    model.weights, model.bias = w[:-1], float(w[-1])
+    model.weights, model.bias = w[:-1], float(w[-1] + (np.log(odds * len(ordinary) / len(toxic)) if odds else 0.0))
     return model
 
 
@@ -143,7 +192,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_
     for y in (0, 1):
         ids = [r[0] for r in joined.filter(F.col("__y") == y).select("__id", "__h").orderBy("__h", "__id").limit(rows).collect()] if rows else []
         got, left = [], chars
-        found = texts.filter(F.col("__id").isin(ids)).withColumn("__h", F.xxhash64("__id", F.lit(11))).dropDuplicates(["__id"]) if ids else None
+        found = texts.filter(F.col("__id").isin(ids)).groupBy("__id").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).withColumn("__h", F.xxhash64("__id", F.lit(11))) if ids else None
         for r in found.orderBy("__h", "__id").toLocalIterator() if found is not None else ():
             left -= len(r["__text"])
             if left < 0 and got:
@@ -156,21 +205,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """A model of the labelled rows of ``docs``; ``labels`` has ``doc_id, toxic``. None without both labels."""
     found = sample(docs, labels, "toxic", id_col=id_col, text_col=text_col, rows=rows, chars=chars)
-    return train(found[1], found[0]) if found[0] and found[1] else None
+    share = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).agg(F.avg("toxic")).first()[0]
+    return train(found[1], found[0], share / (1 - share) if share and share < 1 else None) if found[0] and found[1] else None
 
 
 def annotate(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score of every row beside its columns; nothing is shuffled."""
-    place = docs.columns.index(text_col)
+    """``docs`` with a score of every row beside its columns; nothing is shuffled. A column named ``score_col`` is an error."""
+    if score_col in docs.columns:
+        raise ValueError(f"documents have a column {score_col}: name another one for the score")
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model) if model else None
-        for batch in batches:
-            got = [scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") if scorer else 0.0 for t in batch.column(place).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, score_col])
+        for some in texts:
+            yield pa.array([scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") if scorer else 0.0 for t in some], pa.float64())
 
-    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
-    return docs.mapInArrow(of, schema)
+    # a scalar function: the other columns never leave the executor
+    run = F.arrow_udf(trimmed(of), "double", F.ArrowUDFType.SCALAR_ITER)
+    return docs.withColumn(score_col, run(F.col(text_col).cast("string").cast("binary")))
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
