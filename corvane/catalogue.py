@@ -1,56 +1,14 @@
-"""Queries over the tables, each with SQL that gives the same rows."""
+"""All registered queries, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import text as T
-from corvane.operators import graph, ranking
+from corvane.operators.ranking import top
+from corvane.plans import graphs, ranking, resolution, rollups, texts, units  # noqa: F401  (they register their queries)
+from corvane.plans.registry import ORACLES, QUERIES, query, read
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-SQL_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda t: t <> '')"
-
-
-@query(f"""
-with q as (select distinct unnest({SQL_TOKENS}) term from benchmark where item_id = 0),
-d as (select doc_id, {SQL_TOKENS} toks from documents), s as (select count(*)::double n, avg(len(toks)) a from d),
-p as (select doc_id, len(toks)::double l, unnest(toks) term from d),
-tf as (select doc_id, l, term, count(*)::double tf from p where term in (select term from q) group by all),
-df as (select term, count(*)::double df from tf group by 1)
-select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) score
-from tf join df using (term), s group by 1 order by score desc, doc_id limit 20""")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = read(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    scored = ranking.bm25(read(spark, sf_dir, "documents"), terms, id_col="doc_id", text_col="text")
-    return ranking.top(scored, 20, F.desc("score"), F.asc("doc_id"))
-
-
-@query(f"select term, count(distinct doc_id) df, count(*) tf from (select doc_id, unnest({SQL_TOKENS}) term from documents) group by 1")
-def token_df(spark, sf_dir):
-    # counted for each row first, so that a common term sends one record from each row
-    per = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
-
-
-@query("select doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) preview from documents")
-def preview_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 80).alias("preview"))
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("select doc_id, sha1(text) content_sha1, length(text)::bigint chars from documents")
@@ -63,104 +21,15 @@ def duplicate_content(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("content_sha1")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query(f"""select doc_id, (('0x' || substr(sha1(term), 1, 8))::bigint % 256)::bigint dim, count(*) weight
-from (select doc_id, unnest({SQL_TOKENS}) term from documents) group by all""")
-def hash_dimension_tf(spark, sf_dir):
-    terms = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("doc_id", T.dimension(F.col("term"), 256).alias("dim")).agg(F.count("*").alias("weight"))
-
-
-@query("""select b.vec_id, b.label, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) score from embeddings a, embeddings b
-where a.vec_id = 0 and b.vec_id <> 0 order by score desc, b.vec_id limit 10""")
-def vector_topk(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings")
-    one = F.broadcast(vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")))
-    scored = vectors.filter("vec_id <> 0").join(one).select("vec_id", "label", F.round(ranking.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return ranking.top(scored, 10, F.desc("score"), F.asc("vec_id"))
-
-
-@query("""select b.label, max(round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6)) score, count(*) passages from embeddings a, embeddings b
-where a.vec_id = 0 group by 1""")
-def vector_maxp(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings")
-    one = F.broadcast(vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")))
-    return vectors.join(one).groupBy("label").agg(F.max(F.round(ranking.dot(F.col("q"), F.col("embedding")), 6)).alias("score"), F.count("*").alias("passages"))
-
-
 @query("select event_type, count(*) n, count(distinct user_id) users from events group by 1")
 def count_by_kind(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("""select user_id, event_type, n, rank::int rank from (select *, row_number() over (partition by user_id order by n desc, event_type) rank
-from (select user_id, event_type, count(*) n from events group by all)) where rank <= 2""")
-def top_kinds_per_group(spark, sf_dir):
-    n = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return ranking.top(n, 2, F.desc("n"), F.asc("event_type"), by=["user_id"])
-
-
-@query("""select event_type, list_sort(list(value))[count(*) // 2 + 1] upper_median from events where value is not null group by 1""")
-def upper_median_latency(spark, sf_dir):
-    # by rank in distributed order: no group's values are gathered into one array
-    v = read(spark, sf_dir, "events").filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("event_type").orderBy("value"))
-    every = F.sum("n").over(Window.partitionBy("event_type"))
-    return v.select("event_type", "value", upto.alias("upto"), F.floor(every / 2 + 1).alias("at")).filter("upto >= at").groupBy("event_type").agg(F.min("value").alias("upper_median"))
-
-
-def relational_edges(spark, sf_dir) -> DataFrame:
-    n = graph.node
-    nation, customer, orders = (read(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
-    out = graph.edges(nation, "CONTAINS", n("region", F.col("n_regionkey")), n("nation", F.col("n_nationkey")))
-    out = out.unionAll(graph.edges(customer, "CONTAINS", n("nation", F.col("c_nationkey")), n("customer", F.col("c_custkey"))))
-    return out.unionAll(graph.edges(orders, "PLACES", n("customer", F.col("o_custkey")), n("order", F.col("o_orderkey"))))
-
-
-SQL_EDGES = """select 'region:' || n_regionkey src, 'nation:' || n_nationkey dst, 'CONTAINS' edge_type from nation
-union all select 'nation:' || c_nationkey, 'customer:' || c_custkey, 'CONTAINS' from customer
-union all select 'customer:' || o_custkey, 'order:' || o_orderkey, 'PLACES' from orders"""
-
-
-@query(SQL_EDGES)
-def edges_contains(spark, sf_dir):
-    return relational_edges(spark, sf_dir)
-
-
-@query(f"""with e as ({SQL_EDGES}) select node, edge_type, sum(o)::bigint out_degree, sum(i)::bigint in_degree from
-(select src node, edge_type, 1 o, 0 i from e union all select dst, edge_type, 0, 1 from e) group by all""")
-def degree_by_edge_type(spark, sf_dir):
-    return graph.degree(relational_edges(spark, sf_dir))
-
-
-@query(f"""with recursive e as ({SQL_EDGES}), b as (select src, dst from e union all select dst, src from e),
-w as (select 'region:0' node, 0 depth union select dst, depth + 1 from w join b on src = node where depth < 3)
-select node, min(depth) depth from w group by 1""")
-def shortest_path_hops(spark, sf_dir):
-    seeds = spark.createDataFrame([("region:0",)], "node string")
-    return graph.hops(relational_edges(spark, sf_dir), seeds, 3)
-
-
-@query("""select event_id use_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls)
-over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) def_id from events""")
-def edges_data_flow(spark, sf_dir):
-    return graph.data_flow(read(spark, sf_dir, "events"), by="user_id", order=["ts", "event_id"], id_col="event_id", defines=F.col("event_type") == "purchase")
-
-
-@query("""select event_id, lag(event_id) over w prev_id, lead(event_id) over w next_id from events window w as (partition by user_id order by ts, event_id)""")
-def edges_neighbor(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("prev_id"), F.lead("event_id").over(w).alias("next_id"))
-
-
-@query("""select user_id, event_id, line::int line from (select *, row_number() over (partition by user_id order by ts, event_id) line from events) where line <= 8""")
-def statement_slice(spark, sf_dir):
-    return ranking.top(read(spark, sf_dir, "events"), 8, F.asc("ts"), F.asc("event_id"), by=["user_id"], rank="line").select("user_id", "event_id", "line")
-
-
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select l_partkey, l_suppkey from (select distinct l_partkey, l_suppkey from lineitem) where l_partkey not in (select l_partkey from lineitem where l_discount > 0.09)")
 def anti_missing(spark, sf_dir):
-    customer, orders = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    return customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.select("l_partkey", "l_suppkey").distinct().join(lines.filter("l_discount > 0.09").select("l_partkey"), "l_partkey", "left_anti")
 
 
 @query("select doc_id from documents intersect select doc_id from labels")
@@ -168,23 +37,12 @@ def set_overlap(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").intersect(read(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("""select source, doc_id, rank::int rank from (select *, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents) where rank <= 4""")
-def per_source_cap(spark, sf_dir):
-    return ranking.top(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), 4, F.desc("n_chars"), F.asc("doc_id"), by=["source"]).drop("n_chars")
+@query("select doc_id from documents except select doc_id from labels")
+def set_difference(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").subtract(read(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("select event_id, (props->>'$.k')::bigint k from events")
-def json_props_extract(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("""select regexp_extract(url, '^[a-z]+://([^/]+)', 1) host, count(*) pages from pages group by 1""")
-def path_prefix_rollup(spark, sf_dir):
-    return read(spark, sf_dir, "pages").groupBy(T.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-
+@query("""select source, doc_id, rank::int rank from (select *, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents) where rank <= 4""")
+def per_source_cap(spark, sf_dir):
 
-@query("""select n_name, count(*) customers, round(sum(c_acctbal), 2) balance, count(distinct c_mktsegment) segments
-from nation join customer on c_nationkey = n_nationkey group by 1""")
-def package_summary(spark, sf_dir):
-    joined = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.countDistinct("c_mktsegment").alias("segments"))
+    return top(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), 4, F.desc("n_chars"), F.asc("doc_id"), by=["source"]).drop("n_chars")
