@@ -118,10 +118,10 @@ def leaks(
     texts = texts.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), words(F.col("text")).alias("dtoks"))
     found = lines.filter("shift is not null").join(texts, same).drop("d", "v").join(items.select(F.col("item_id").alias("i"), "toks"), F.col("item_id").eqNullSafe(F.col("i")))
     inside = lambda p: F.exists("places", lambda w: (w <= p) & (p < w + F.col("size")))
-    pairs = F.transform("toks", lambda t, p: F.struct(p.alias("p"), t.alias("i"), F.try_element_at("dtoks", (p + F.col("shift") + 1).cast("int")).alias("d")))
+    pairs = F.transform("toks", lambda t, p: F.struct(p.alias("p"), t.alias("i"), F.get("dtoks", (p + F.col("shift")).cast("int")).alias("d")))
     near = F.filter("toks_at", lambda x: x["d"].isNotNull() & slot(x["i"]) & slot(x["d"]) & inside(x["p"]))
     # ``shift`` may be negative at the opening of an item that a document has cut off: no word is there
-    found = found.withColumn("toks_at", F.filter(pairs, lambda x: x["p"] + F.col("shift") >= 0)).withColumn("slots", near)
+    found = found.withColumn("toks_at", pairs).withColumn("slots", near)
     clash = lambda x, q: (q["p"] < x["p"]) & (((q["i"] == x["i"]) & (q["d"] != x["d"])) | ((q["d"] == x["d"]) & (q["i"] != x["i"])))
     found = found.withColumn("bad", F.transform(F.filter("slots", lambda x: F.exists("slots", lambda q: clash(x, q))), lambda x: x["p"]))
     good = F.filter("places", lambda w: ~F.exists("bad", lambda b: (w <= b) & (b < w + F.col("size"))))

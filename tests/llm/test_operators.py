@@ -36,6 +36,18 @@ def test_line_dedup_keeps_the_first(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_takes_short_lines_of_more_sites_and_leaves_columns_alone(spark):
+    rows = [(k, f"All rights reserved.\nown text number {k} of this page here\nTwo words", f"s{k % 12 if k % 2 else k % 6}") for k in range(40)] + [(None, "All rights reserved.", "s1"), (7, "All rights reserved.", "s2"), (50, "rare one", "a"), (51, "rare one", "b"), (52, "rare one", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = linededup.dedup_lines(docs, short_sites=9).collect()
+    assert sum("All rights reserved." in r.text for r in got) == 1 and sum("Two words" in r.text for r in got) == 1 and sum(r.text == "rare one" for r in got) == 3
+    clash = docs.withColumns({"n_lines": F.lit(777), "line_doc": F.lit(5), "__text": F.lit("u"), "version": F.lit(9)})
+    kept = linededup.dedup_lines(clash, lines_col="total", removed_col="gone").collect()
+    assert {(r.n_lines, r.line_doc, r["__text"], r.version) for r in kept} == {(777, 5, "u", 9)}
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(clash)
+
+
 def test_base_spans_match_plain_regular_expressions(docs, empty):
     got = {r.doc_id: r for r in pii.find(docs).collect()}
     assert (got[7].n_email, got[7].n_ip, got[7].n_card, got[7].n_phone) == (1, 1, 1, 1)
@@ -47,9 +59,37 @@ def test_base_spans_match_plain_regular_expressions(docs, empty):
 
 def test_contexts_disclose_unseen_identifiers(spark):
     known = [(k, f"please write to {k}a@mail{k}.example.com soon") for k in range(30)]
-    docs = spark.createDataFrame([*known, (99, "please write to user77 soon"), (98, "nothing here 12 at all")], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.find(docs).filter("n_found > 0").collect()}
-    assert got == {99: "found:16:22"}
+    tokens = [(100 + k, f'x token = "{k:02d}{"ab12" * 9}cd" y') for k in range(8)]
+    more = [(99, "please write to user77 soon"), (98, "nothing here 12 at all"), (97, "the deadbeef" + "0123" * 8 + " alone"), (96, "order 4111111111111112 of 2024")]
+    docs = spark.createDataFrame([*known, *tokens, *more], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.n_found) for r in pii.find(docs).collect()}
+    assert got[99] == ("email:16:22", 1) and got[98] == got[96] == ("", 0)
+    # of eight tokens, the shape is learnt and known again where nothing stands before it
+    assert got[97] == ("secret:4:44", 1) and got[100][0] == "secret:11:51"
+
+
+def base_spans(text):
+    """By plain regular expressions."""
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for at, (kind, pattern) in enumerate(kinds.items()):
+        for m in re.finditer(pattern, text):
+            d = [int(x) for x in re.sub("[^0-9]", "", m.group())][::-1]
+            luhn = sum(x if k % 2 == 0 else x * 2 - 9 if x > 4 else x * 2 for k, x in enumerate(d)) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), at, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_base_spans_of_odd_and_long_texts(spark):
+    import hashlib
+    import random
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("a1.@-+ ()%_9b\n\x05") for _ in range(draw.randint(1, 120))) for _ in range(300)]
+    texts += ["a" * 200_000, "12345 " * 30_000, "x@y.z " * 3_000, "1.2" * 10_000, "9" * 100_000, "a@b" + ".c" * 50_000, "+1 " * 30_000]
+    got = {r.doc_id: r.base_sha256 for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: hashlib.sha256(base_spans(t).encode()).hexdigest() for k, t in enumerate(texts)}
 
 
 def test_fingerprints_and_packing(docs, empty):
@@ -112,17 +152,33 @@ def test_first_fit_decreasing_against_a_plain_loop():
 
 def test_templates_catch_new_parameters(spark, docs, empty):
     item = "a train of length 120 m leaves Berlin at 9 and meets another of 80 m in the long tunnel"
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
-    other = "So: " + item.replace("120", "300").replace("Berlin", "Madrid").replace("80", "75") + " indeed"
+    dense = "Pay 12 euros to Anna Maria Berg in New York City for 30 kg of 7 Apples"
+    count = "one two three four five six seven eight nine ten eleven 5 twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen 5 twenty"
     # 120 stands for two values, once as another number: no consistent slots
-    twice = spark.createDataFrame([(5, "from 120 to 120 and then back again to 120 with all of the cargo on board")], "item_id long, text string")
-    mixed = "from 1 to 2 and then back again to 3 with all of the cargo on board"
-    table = spark.createDataFrame([(10, other), (11, item.upper()), (12, None), (13, mixed), (14, "")], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(table, items).collect()} == {(10, 1)} | {(r.doc_id, r.item_id) for r in decontamination.leaks(table.filter("doc_id = 11"), items).collect()}
-    assert decontamination.leaks(table, twice).count() == 0
+    twice = "from 120 to 120 and then back again to 120 with all of the cargo on board"
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, dense), (6, twice), (7, count), (8, count)], "item_id long, text string")
+    rows = [
+        (10, "So: " + item.replace("120", "300").replace("Berlin", "Madrid").replace("80", "75") + " indeed"), (11, item.upper()), (12, None), (13, "from 1 to 2 and then back again to 3 with all of the cargo on board"), (14, ""),
+        (15, "x " + item.replace("120", "12.5").replace("80", "1,250").replace("Berlin", "New York City")), (16, dense), (16, dense), (17, "we are\ntoo short\nhere"), (18, "this is too short for it"),
+        (19, count.replace("5 twenty", "6 twenty")), (20, dense.replace("12", "99").replace("Anna Maria Berg", "Bob Lee")), (None, item), (21, "and meets another of 80 m in the long tunnel of"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(table, items).collect()} == {(10, 1), (11, 1), (15, 1), (16, 5), (17, 4), (19, 7), (None, 1)}
     assert decontamination.leaks(docs, items).count() == 0 and decontamination.leaks(empty, items).count() == 0
     assert decontamination.leaks(table, items.filter("false")).count() == 0
-    assert 10 not in {r.doc_id for r in decontamination.clean(table, items).collect()}
+    clash = table.withColumns({"leak_doc": F.lit(1), "Leak_Version": F.lit(2), "item_id": F.lit(3)})
+    kept = decontamination.clean(clash, items)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {12, 13, 14, 18, 20, 21}
+
+
+def test_leaks_are_the_documents_that_share_thirteen_words(spark):
+    from corvane.llm.storage import table
+
+    docs, items = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
+    runs = lambda t: {tuple(w[k : k + 13]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for k in range(len(w) - 12)}
+    wanted = set().union(*(runs(r.text) for r in items.collect()))
+    want = {r.doc_id for r in docs.collect() if not wanted.isdisjoint(runs(r.text))}
+    assert {r.doc_id for r in decontamination.leaks(docs, items).collect()} == want and want
 
 
 def test_language_model_base_against_counts(docs, empty):
@@ -136,31 +192,48 @@ def test_language_model_base_against_counts(docs, empty):
     assert lm.score(empty, F.col("doc_id") < 6).count() == 0
 
 
-def test_language_model_keeps_an_arc_of_every_seen_pair(spark):
-    # in the second table pairs of every count from 1 to 4 are seen, and the discounts follow from them
-    for texts in (["a b c", "a c b", "d"], [*["p q"] * 4, *["r s"] * 3, *["t u"] * 2, *["v w"] * 2, *[f"x{k} y{k} p" for k in range(9)]]):
-        tokens = [["<", *t.split(), ">"] for t in texts]
-        words, pairs = Counter(w for t in tokens for w in t[1:]), Counter(p for t in tokens for p in zip(t, t[1:]))
-        have = Counter(pairs.values())
-        y = have[1] / (have[1] + 2 * have[2]) if have[2] else 0
-        d = {k: k - (k + 1) * y * have[k + 1] / have[k] for k in (1, 2, 3)} if all(have[k] for k in (1, 2, 3, 4)) else {1: 0.75, 2: 0.75, 3: 0.75}
-        d = d if all(0 < d[k] < k for k in d) else {1: 0.75, 2: 0.75, 3: 0.75}
-        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()}
-        for at, t in enumerate(tokens):
-            want = 0
-            for a, b in zip(t, t[1:]):
-                own = [n for (x, _), n in pairs.items() if x == a]
-                fail = sum(d[min(n, 3)] for n in own) / sum(own)
-                want += math.log10((pairs[a, b] - d[min(pairs[a, b], 3)]) / sum(own) + fail * (words[b] + 1) / (words.total() + len(words) + 1))
-            assert abs(got[at] - want) < 1e-9
-
-
-def test_pair_probabilities_sum_to_one():
-    # the root has a share for unknown words
-    c, n = np.array([3.0, 2, 1]), np.array([4.0, 0, 2])
-    root = np.append((c + 1) / (c.sum() + 4), 1 / (c.sum() + 4))
-    arc = np.append(np.where(n >= 2, n - 0.75, 0) / n.sum(), 0)
-    assert abs((arc + (1 - arc.sum()) * root).sum() - 1) < 1e-12
+def plain_model(texts, mass=lm.MASS):
+    """Log probability of a token after the (at most two) tokens before it, by dictionaries alone."""
+    grams = Counter()
+    for t in texts:
+        seq = ["<", *t.split(), ">"]
+        grams.update((w,) for w in seq)
+        grams.update(zip(seq, seq[1:]))
+        grams.update(zip(seq, seq[1:], seq[2:]))
+    total, distinct = sum(n for g, n in grams.items() if len(g) == 1 and g != ("<",)), sum(len(g) == 1 and g != ("<",) for g in grams)
+
+    def probability(context, word):
+        if not context:
+            return (grams[word,] + 1) / (total + distinct + 1)
+        m, (a, e), below = grams[context], mass[len(context) - 1], probability(context[1:], word)
+        return (grams[*context, word] + a * m**e * below) / (m + a * m**e) if m else below
+
+    return probability, {g[0] for g in grams if len(g) == 1 and g != ("<",)}
+
+
+def test_automaton_equals_plain_dictionaries(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(list("abcdefgh"), draw.integers(0, 12))) for _ in range(60)] + ["a b c", "a b c d", "zz yy a b", "a " * 1500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(rows, F.col("doc_id") < 40).collect()}
+    probability, _ = plain_model(texts[:40])
+    for k, t in enumerate(texts):
+        seq = ["<", *t.split(), ">"]
+        want = sum(math.log10(probability(tuple(seq[max(0, j - 2) : j]), seq[j])) for j in range(1, len(seq)))
+        assert abs(got[k] - want) < 1e-6 * max(1, -want)
+
+
+def test_automaton_probabilities_of_a_state_sum_to_one(spark):
+    texts = ["a b c a b d", "b c", "c c c a b"]
+    _, words = plain_model(texts)
+    # the words that may follow "a b", one text for each, and one that is unknown
+    ends = sorted(words - {">"}) + ["zz"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, "a b")] + [(101 + k, f"a b {w}") for k, w in enumerate(ends)] + [(200 + k, f"a b {w} {v}") for k, w in enumerate(ends) for v in ["q"]]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 3).collect()}
+    probability, _ = plain_model(texts)
+    opening = math.log10(probability(("<",), "a")) + math.log10(probability(("<", "a"), "b"))
+    chance = [10 ** (got[101 + k] - opening - math.log10(probability(("b", w) if w != "zz" else (w,) if False else (), ">") if w == "zz" else probability(("b", w), ">"))) for k, w in enumerate(ends)]
+    assert abs(sum(chance) + 10 ** (got[100] - opening) - 1) < 1e-9
 
 
 def test_nearest_against_brute_force(spark):
@@ -208,6 +281,8 @@ def test_classifiers_learn_and_take_any_text(spark, docs, empty):
     assert scorer.score(b"by the mill, scumbag, and the vileoaf sea") > 0.5 > scorer.score(b"by the mill and the town")
     scored = toxicity.annotate(docs, model, score_col="__s").collect()
     assert len(scored) == len(ROWS) and all(0 <= r["__s"] <= 1 for r in scored)
+    with pytest.raises(ValueError):
+        toxicity.annotate(docs, model)
     assert toxicity.score(empty, model).count() == 0 and {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     junk = [f"### $$$ {k} %%% &&&\n!!! @@@ ###" for k in range(60)]
     field = quality.train([t.encode() for t in junk], [t.encode() for t in plain], steps=60)
@@ -234,3 +309,95 @@ def test_spans_of_ranks_equal_the_tokenizer_files():
     ranked, whole = tokencounts.span_encoder("byte_bpe_50k.tiktoken"), tokencounts.span_encoder("byte_bpe_50k.json")
     for text in ("", "a 😀b́ ñ\n\n  x", "  \n a", "don't 12345 <|endoftext|>", "x" * 5000, "日本語 ab\r\n"):
         assert ranked(text).tolist() == whole(text).tolist()
+
+
+def test_compressed_lengths_are_those_of_plain_compression():
+    import zstandard as z
+
+    content, other = b" the river runs by the old mill " * 20, b"you scumbag vileoaf "
+    texts = [b"by the old mill you scumbag", b"", b"x" * 400, "äöü vileoaf".encode()]
+    for t in texts:
+        for w in toxicity.windows(t):
+            sizes = []
+            for held in (content, content + other):
+                made = z.ZstdCompressionDict(held, dict_type=z.DICT_TYPE_RAWCONTENT)
+                sizes.append(len(z.ZstdCompressor(dict_data=made, level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w)))
+            assert toxicity.gains(toxicity.measure(content), toxicity.measure(content + other), [w])[0] == sizes[0] - sizes[1]
+        assert b" ".join(toxicity.windows(t)) == b" ".join(t.lower().split())
+
+
+def test_pieces_hold_the_ids_of_the_whole_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_file(packing.TOKENIZER))
+    whole.encode_special_tokens = True
+    texts = ["Straße don't x9 <|endoftext|> (a)b É", "", None, "wörd! " * 3000, "\x7f del \x85 x\u2028y", "日本語 ab\r\n  c", "a" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in sorted(packing.pack(rows, keep_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(found.setdefault(r.doc_id, [])) and r.length <= 2048
+        found[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert found == {k: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
+def test_fingerprints_and_components_against_brute_force(spark):
+    import xxhash
+
+    draw = np.random.default_rng(9)
+    base = [[f"w{x}" for x in draw.integers(0, 5000, 400)] for _ in range(12)]
+    texts = []
+    for words in base:
+        for edits in range(5):
+            some = list(words)
+            for at in draw.integers(0, 400, edits):
+                some[at] = "edited"
+            texts.append(" ".join(some))
+    texts += ["", None, "A b", "a  B", "a"]
+
+    def print_of(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if x]
+        parts = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [print_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: (prints[k], root[k]) for k in range(len(texts))}
+
+
+def test_token_counts_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_file("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    texts = ["one line", "two\nlines here", "", None, "\n\n a  b\n", "é ñ\n日本 x\r\ny"]
+    for r in tokencounts.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text = texts[r.doc_id] or ""
+        spans = whole.encode(text, add_special_tokens=False).offsets
+        starts = [0, *(k + 1 for k, c in enumerate(text) if c == "\n")]
+        stops = [*(k for k, c in enumerate(text) if c == "\n"), len(text)]
+        want = [0] * len(starts)
+        for a, b in spans:
+            held = [min(b, y) - max(a, x) for x, y in zip(starts, stops)]
+            best = max(held)
+            want[held.index(best) if best > 0 else max(k for k, x in enumerate(starts) if x <= a)] += 1
+        assert r.doc_tokens == len(spans) and r.n_tokens == want
+
+
+def test_pipeline_on_small_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k} other{k % 7}" for k in range(300))
+    passage = "a benchmark passage of many words that nobody should ever train on because it is held out for tests"
+    rows = [(1, long, "en", "a", 10), (2, long, "en", "b", 10), (3, f"{long} and one more", "en", "c", 10), (4, f"see {passage} end", "en", "a", 5), (5, None, "de", "b", 0), (None, "some quite different text", None, None, None)]
+    rows += [(10 + k, f"This line stands on every site that we know of\nown text of page {k} with {k * 7} and {k * 11} words", "en", f"s{k}", 9) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, 5, None, 10, 11, 12, 13, 14}
