@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 GENERATED_PARTS = ("generated", "gen", "dist", "target", "vendor")
 GENERATED_ENDINGS = (".pb.rs", "_pb2.py", "_grpc.py")
 LANGUAGES = {
-    "rs": "Rust", "py": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go", "java": "Java",
-    "c": "C", "h": "C", "cpp": "C++", "hpp": "C++", "html": "HTML", "css": "CSS", "md": "Markdown", "toml": "TOML", "yaml": "YAML", "yml": "YAML",
-    "json": "JSON", "sh": "Shell", "sql": "SQL", "proto": "Protobuf",
+    "c": "C", "cc": "C++", "cpp": "C++", "css": "CSS", "go": "Go", "h": "C/C++ Header", "html": "HTML", "java": "Java", "js": "JavaScript",
+    "json": "JSON", "jsx": "JSX", "lock": "Lockfile", "md": "Markdown", "proto": "Protocol Buffers", "py": "Python", "rs": "Rust", "sh": "Shell",
+    "sql": "SQL", "toml": "TOML", "ts": "TypeScript", "tsx": "TSX", "txt": "Text", "yaml": "YAML", "yml": "YAML",
 }
 #: What divides words, what is not part of one, and what an estimate counts as a token.
 DIVIDERS, NOT_WORD, PIECE = r"::|[/\-.]", r"[^\p{L}\p{N}_\s]", r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -91,7 +91,7 @@ def extension(path: Column) -> Column:
 def language(path: Column) -> Column:
     """The language of a file by its name; ``Other`` for one that is not listed."""
     listed = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.when(path.rlike("(^|/)Dockerfile$"), "Docker").otherwise(F.coalesce(F.try_element_at(listed, extension(path)), F.lit("Other")))
+    return F.when(path.rlike("(^|/)Dockerfile$"), "Dockerfile").otherwise(F.coalesce(F.try_element_at(listed, extension(path)), F.lit("Other")))
 
 
 def path_prefixes(path: Column) -> Column:
