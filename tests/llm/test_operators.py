@@ -401,3 +401,21 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {1, 5, None, 10, 11, 12, 13, 14}
+
+
+def test_line_labels_are_latent():
+    draw = np.random.default_rng(4)
+    plain = [f"the river of town {k} runs by the old mill and on to the sea" for k in range(40)]
+    junk = [f"### $$$ {k} %%% &&& !!! @@@ 7777" for k in range(40)]
+    good = ["\n".join(draw.choice(plain, 6)) for _ in range(60)]
+    # most of a bad document is junk, but a third of it is as good as any
+    bad = ["\n".join([*draw.choice(plain, 2), *draw.choice(junk, 4)]) for _ in range(60)]
+    field = quality.train([t.encode() for t in bad], [t.encode() for t in good], steps=120)
+    lines, lengths = quality.line_scores(bad[0].encode(), field)
+    # the second line has junk beside it
+    assert lines[0] > 0.5 > lines[3:].max() and quality.line_scores(good[0].encode(), field)[0].min() > 0.8
+    assert lines @ lengths / lengths.sum() < 0.7
+    moves = np.array([[0.5, -0.5], [-0.2, 0.3]])
+    share = np.full(5, 0.2)
+    for y, holds in ((0, lambda m: m <= quality.BAD + 0.02), (1, lambda m: m >= quality.GOOD - 0.02)):
+        assert holds(quality.nearest(np.array([3.0, -3, 2, -1, 0]), moves, share, y)[0] @ share)
