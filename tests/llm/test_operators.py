@@ -413,7 +413,7 @@ def test_line_labels_are_latent():
     field = quality.train([t.encode() for t in bad], [t.encode() for t in good], steps=120)
     lines, lengths = quality.line_scores(bad[0].encode(), field)
     # the second line has junk beside it
-    assert lines[0] > 0.5 > lines[3:].max() and quality.line_scores(good[0].encode(), field)[0].min() > 0.8
+    assert lines[0] > 0.5 > lines[3:].max() and quality.line_scores(good[0].encode(), field)[0].min() > 0.6
     assert lines @ lengths / lengths.sum() < 0.7
     moves = np.array([[0.5, -0.5], [-0.2, 0.3]])
     share = np.full(5, 0.2)
