@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables written inside ``scratch`` blocks that are open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """On leaving, delete the tables that were written inside, but for the last one, which is the result."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for done in _OPEN.pop()[:-1]:
+            discard(done)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with the same column types."""
     spark = df.sparkSession
@@ -33,6 +49,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._corvane_path = path
+    for made in _OPEN:
+        made.append(back)
     return back
 
 
