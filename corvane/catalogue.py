@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators.ranking import top
-from corvane.plans import graphs, ranking, resolution, rollups, texts, units  # noqa: F401  (they register their queries)
+from corvane.plans import code, graphs, ranking, resolution, rollups, texts, units  # noqa: F401  (they register their queries)
 from corvane.plans.registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -126,6 +126,14 @@ def ngrams(toks: Column, sizes: tuple[int, ...] = (2, 3), least: int = 3) -> Col
     return F.filter(F.array_distinct(F.concat(F.array(F.array_join(toks, " ")), *runs)), lambda t: t != "")
 
 
+def plain_type(text: Column, nested: int = 4) -> Column:
+    """A type's name without reference, lifetime, ``mut``, ``dyn`` and parameters, nested ones up to a depth."""
+    out = text
+    for _ in range(nested):
+        out = F.regexp_replace(out, "<[^<>]*>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"^[&\s]+('\w+\s+)?", ""), r"^((mut|dyn)\s+)+", ""))
+
+
 def symbol_tags(path: Column, kind: Column, is_test: Column) -> Column:
     """The words of a symbol's path, its kind and what it is besides; distinct, in this order."""
     nothing = F.array().cast("array<string>")
