@@ -13,7 +13,7 @@ from corvane.operators import graph, lexical
 
 #: What a token scores by its first field, priorities of kinds, and what an edge adds to a neighbour.
 RERANK_FIELDS, SYMBOL_FIELDS = (16.0, 14.0, 9.0, 7.0, 6.0), (18.0, 15.0, 10.0, 8.0, 6.0)
-PRIORITY = {"symbol": 5, "type_body": 4, "function_body": 4, "file": 3, "doc": 3, "directory": 2, "package": 1, "repo": 0}
+PRIORITY = {"symbol": 6, "type_body": 5, "function_body": 4, "file": 3, "doc": 3, "directory": 2, "package": 1, "repo": 0, "statement": -2, "module_ref": -3, "symbol_ref": -3, "type_ref": -3}
 EDGE_BONUS = {"SUMMARIZED_BY": 2.1, "DECLARES": 1.9, "CONTAINS": 1.6, "IMPLEMENTS": 1.5, "INHERITS": 1.4, "CALLS": 1.2, "READS": 0.9, "WRITES": 0.9, "REFERENCES": 0.8, "REFS": 0.8, "IMPORTS": 0.7}
 NOMINAL, CALLABLE = ("struct", "enum", "trait", "type"), ("function", "method", "associated_function")
 

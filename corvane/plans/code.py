@@ -20,7 +20,7 @@ _TOKEN = lambda t: f"case when contains(q, '{t}') then 16 when contains(n, '{t}'
 
 @query(rf"""with c as (select *, lower(qualified_name) q, lower(name) n, lower(kind || ' of ' || package) ti, 'holds ' || lower(name) pr, lower(path) pa, string_split_regex(lower(name), '[^a-z0-9]+') ids from ({SYMBOLS})),
 h as (select *, contains(q || ' ' || n || ' ' || pa || ' ' || ti || ' ' || pr, 'small')::int + contains(q || ' ' || n || ' ' || pa || ' ' || ti || ' ' || pr, 'ring')::int hits from c)
-select symbol_id, round((ord % 9)::double + {_TOKEN('small')} + {_TOKEN('ring')} + case hits when 2 then 26 when 0 then -18 else 0 end + 30 + {_SQL_KIND} + 2.5::double + greatest(20 - (ord % 4) * 6, 2) + greatest(18 - (ord % 6) * 4, 4)
+select symbol_id, round((ord % 9)::double + {_TOKEN('small')} + {_TOKEN('ring')} + case hits when 2 then 26 when 0 then -18 else 0 end + 30 + {_SQL_KIND} + 3.0::double + greatest(20 - (ord % 4) * 6, 2) + greatest(18 - (ord % 6) * 4, 4)
  + case when visibility = 'pub' then 8 else -2 end + {_ACT} * case when kind in ('struct', 'enum', 'trait') then 0.12::double when kind = 'impl' then 0.16::double when kind in ('function', 'method') then 0.34::double else 0 end
  + 28 * ((ord % 3) / 2.0::double) - case when kind in ('field', 'local') then 28 else 0 end, 6)::double score from h""")
 def rerank_heuristic(spark, sf_dir):
