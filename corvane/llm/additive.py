@@ -8,8 +8,8 @@ normalised code. The best ``keep`` codes of each block give a bound for the ``k`
 and distance let reach the bound is ranked by the exact cosine, so a block's result and the merged one are exact. Vectors and queries meet in blocks of bounded size, each pair in a group of its own.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most of the sample, or that hold null or
-non-finite components take no part; of repeated ids, each row is a candidate and ranks on its own except for the
-query's own id; ties go to the smaller id; an empty table gives an empty result; other columns are not looked at.
+non-finite components take no part; null ids take no part; of repeated ids, each row is a candidate and ranks on
+its own except for the query's own id, and the least of their vectors asks; ties go to the smaller id; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -70,6 +70,10 @@ def search(
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), queries.alias("asks")).filter(F.col("vec_id").isNotNull() & fine)
+    # by a power of two, which changes no cosine: squares of very small and large components stay finite
+    largest = F.array_max(F.transform("v", F.abs))
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double")))
+    kept = kept.withColumn("by", F.pow(F.lit(2.0), power)).withColumn("v", F.transform("v", lambda e: e * F.col("by"))).drop("by")
     some = kept.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(some):
@@ -95,7 +99,7 @@ def search(
     row_blocks, query_blocks = max(1, -(-n["n"] // ROWS)), max(1, -(-n["q"] // QUERIES))
     rows = index.withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int"))
     rows = rows.select("vec_id", "v", "codes", "norm", "rb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asks = index.filter("asks").dropDuplicates(["vec_id"]).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int"))
+    asks = index.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int"))
     asks = asks.select("vec_id", "v", "qb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
 
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

@@ -419,3 +419,34 @@ def test_line_labels_are_latent():
     share = np.full(5, 0.2)
     for y, holds in ((0, lambda m: m <= quality.BAD + 0.02), (1, lambda m: m >= quality.GOOD - 0.02)):
         assert holds(quality.nearest(np.array([3.0, -3, 2, -1, 0]), moves, share, y)[0] @ share)
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2.1e200]), (2, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [-1.0, 0.5]), (None, [1.0, 2.0]), (4, []), (5, [1.0, 2.0, 3.0]), (6, [float("inf"), 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit(9), "rank": F.lit("x"), "v": F.lit(1), "codes": F.lit(2), "norm": F.lit(3)})
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in additive.search(table, F.col("vec_id").isin(0, 2)).collect()]
+    unit = {k: [np.array(v) / max(map(abs, v)) for i, v in rows[:5] if i == k] for k in range(4)}
+    cosine = lambda a, b: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    for query, asks in ((0, unit[0][0]), (2, np.array([1.0, 2.0]))):
+        want = sorted(((-cosine(asks, x), k) for k, many in unit.items() if k != query for x in many))
+        assert sorted(g[1:] for g in got if g[0] == query) == [(at, k, -s) for at, (s, k) in enumerate(want, 1)]
+
+
+def test_classifiers_on_empty_repeated_and_unlabelled_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        assert module.fit(empty, labels) is None and module.fit(docs, labels.filter("false")) is None and module.score(empty, None).count() == 0
+    # of clashing labels the largest holds: both documents are good, and one is toxic
+    found = toxicity.sample(docs, labels, "toxic", id_col="doc_id", text_col="text", rows=9, chars=10_000)
+    assert [len(found[y]) for y in (0, 1)] == [1, 1] and quality.fit(docs, labels) is None
+    scored = quality.score(docs, None).collect()
+    assert len(scored) == len(ROWS) and {r.score for r in scored} == {0.5}
+    model = toxicity.train([b"you scumbag there"] * 20, [b"by the old mill"] * 20)
+    twice = [r.score for r in toxicity.score(docs, model).filter("doc_id = 6").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_repeated_rows_of_personal_data(spark):
+    rows = spark.createDataFrame([(1, "a@b.co 10.0.0.1"), (1, "a@b.co 10.0.0.1"), (1, "x@y.org"), (None, "a@b.co"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.spans) for r in pii.find(rows.withColumns({"spans": F.lit(1), "words": F.lit(2), "version": F.lit(3)})).collect())
+    assert got == [(False, "email:0:6,ip:7:15")] * 2 + [(False, "email:0:7"), (True, ""), (True, "email:0:6")]
