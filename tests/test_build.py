@@ -74,3 +74,26 @@ def test_questions(spark, store):
     assert callers == {"my_shapes::Square::area", "my_shapes::sums::total"}
     assert retrieval.retrieve(store, "multiply", limit=3).first().symbol_id == target
     assert retrieval.bundle(store, "which functions call multiply on a square here")["neighbours"]
+
+
+def run(capsys, spark, store, *argv):
+    import json
+
+    from corvane import cli
+
+    assert cli.main([*argv, "--store", store.root], spark) == 0
+    return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+
+def test_commands(capsys, spark, store):
+    ask = lambda *argv: run(capsys, spark, store, *argv)
+    assert {r["qualified_name"] for r in ask("callers-of", "my_shapes::multiply")} == {"my_shapes::Square::area", "my_shapes::sums::total"}
+    assert ask("where-defined", "total")[0]["path"] == "src/sums.rs" and ask("find-symbol", "multiply")[0]["name"] == "multiply"
+    assert ask("get-symbol-body", "total")[0]["statements"][0] == "let mut sum = 0" and ask("get-symbol-signature", "total")[0]["visibility"] == "pub"
+    assert [r["qualified_name"] for r in ask("get-enclosing-context", "src/lib.rs:11")][:2] == ["my_shapes::Square::area", "my_shapes::Square"]
+    assert ask("path-between", "my_shapes::tests::squares", "my_shapes::multiply", "--direction", "out", "--types", "CALLS")[0]["hop_count"] == 2
+    assert [r["path"] for r in ask("find-file", "src")] == ["src/lib.rs", "src/sums.rs"] and ask("plan-query", "multiply")["profile"]["intent"] == "symbol"
+    assert ask("trace-calls", "total")["callees"] and ask("summarize-path", "src")[0]["symbols"] > 3 and ask("get-summary", "src/sums.rs")[0]["summary"].startswith("File src/sums.rs")
+    assert {r["language"] for r in ask("repo-overview")["languages"]} >= {"Rust", "Markdown", "TOML"}
+    with pytest.raises(SystemExit, match="missing"):
+        ask("callees-of", "nothing_of_this_name")
