@@ -63,6 +63,11 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[rows, best], (sums[rows, best] ** 2).sum(1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, which changes no cosine: squares of very small and large components stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def search(
     vectors: DataFrame, queries, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = SAMPLE, keep: int = KEEP,
 ) -> DataFrame:
@@ -70,17 +75,13 @@ def search(
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), queries.alias("asks")).filter(F.col("vec_id").isNotNull() & fine)
-    # by a power of two, which changes no cosine: squares of very small and large components stay finite
-    largest = F.array_max(F.transform("v", F.abs))
-    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double")))
-    kept = kept.withColumn("by", F.pow(F.lit(2.0), power)).withColumn("v", F.transform("v", lambda e: e * F.col("by"))).drop("by")
     some = kept.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(some):
         return vectors.sparkSession.createDataFrame([], schema)
     dims = int(some["v"].map(len).mode().iat[0])
     kept = kept.filter(F.size("v") == dims)
-    x = np.array([r for r in some["v"] if len(r) == dims])
+    x = scaled(np.array([r for r in some["v"] if len(r) == dims]))
     books = train(x / np.linalg.norm(x, axis=1, keepdims=True))
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
 
@@ -88,7 +89,8 @@ def search(
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024].copy()
-                x = np.array(part["v"].tolist())
+                x = scaled(np.array(part["v"].tolist()))
+                part["v"] = list(x)
                 codes, norms = encode(x / np.linalg.norm(x, axis=1, keepdims=True), shared.value)
                 part["codes"], part["norm"] = list(codes.astype(np.int32)), norms
                 yield part
