@@ -13,14 +13,15 @@ LANGUAGES = {
     "json": "JSON", "jsx": "JSX", "lock": "Lockfile", "md": "Markdown", "proto": "Protocol Buffers", "py": "Python", "rs": "Rust", "sh": "Shell",
     "sql": "SQL", "toml": "TOML", "ts": "TypeScript", "tsx": "TSX", "txt": "Text", "yaml": "YAML", "yml": "YAML",
 }
-#: What divides words, what is not part of one, and what an estimate counts as a token.
-DIVIDERS, NOT_WORD, PIECE = r"::|[/\-.]", r"[^\p{L}\p{N}_\s]", r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+#: The signs that divide words, what is not part of one, and what an estimate counts as a token.
+SIGNS, NOT_WORD, PIECE = "/-.", r"[^\p{L}\p{N}_\s]+", r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
 def tokens(text: Column) -> Column:
     """Words in their order, repeats included: lower-cased, divided at white space, ``::``, ``/``, ``-`` and ``.``."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), DIVIDERS, " "), NOT_WORD, "")
-    return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    # plain replacements and one pattern: nothing here is evaluated word by word
+    parted = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("::"), F.lit(" ")), SIGNS, " " * len(SIGNS))
+    return F.array_remove(F.split(F.regexp_replace(parted, NOT_WORD, ""), r"\s+"), "")
 
 
 def path_terms(path: Column, limit: int = 8) -> Column:

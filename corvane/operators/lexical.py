@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.tables import spread
 
 #: Weights of kinds and of kinds of symbols, the order of kinds, and what a token scores by its first field.
 KIND_WEIGHTS = {"symbol": 30.0, "type_body": 16.0, "function_body": 12.0, "file": 8.0, "doc": 8.0, "directory": 2.0, "package": 1.0, "statement": -35.0, "module_ref": -25.0, "symbol_ref": -25.0, "type_ref": -25.0}
@@ -43,16 +44,12 @@ def index(docs: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
 
 
 def matches(docs: DataFrame, id_col: str, fields: Sequence[str], terms: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The postings of ``terms`` alone, and of each field the number of rows and their mean length.
-
-    A row's words are filtered before any of them becomes a row.
-    """
-    asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    toks = docs.select(F.col(id_col).alias("doc"), *[T.tokens(F.col(f)).alias(f"t_{k}") for k, f in enumerate(fields)])
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"t_{k}").alias("len"), F.filter(f"t_{k}", lambda t: F.array_contains(asked, t)).alias("hits")) for k, f in enumerate(fields)]))
-    rows = toks.select("doc", each.alias("f")).select("doc", "f.field", "f.len", "f.hits")
+    """The postings of ``terms`` alone, and of each field the number of rows and their mean length."""
+    toks = spread(docs.select(id_col, *fields)).select(F.col(id_col).alias("doc"), *[T.tokens(F.col(f)).alias(f"t_{k}") for k, f in enumerate(fields)])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"t_{k}").alias("len"), F.col(f"t_{k}").alias("words")) for k, f in enumerate(fields)]))
+    rows = toks.select("doc", each.alias("f")).select("doc", "f.field", "f.len", "f.words")
     stats = rows.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
-    tf = rows.select("doc", "field", "len", F.explode("hits").alias("term")).groupBy("doc", "field", "len", "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = rows.select("doc", "field", "len", F.explode("words").alias("term")).filter(F.col("term").isin(*terms)).groupBy("doc", "field", "len", "term").agg(F.count("*").cast("double").alias("tf"))
     return tf, stats
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import numbers as N
 from corvane.functions import text as T
+from corvane.tables import spread
 
 #: The bounds of units in tokens and characters, the stride of character windows, and kinds of documents.
 CODE_TOKENS, TEXT_TOKENS, CHARS, CHAR_STRIDE, OVERLAP = 350, 900, 10_000, 9_000, 116
@@ -34,24 +35,27 @@ def char_windows(text: Column, size: int = CHARS, stride: int = CHAR_STRIDE) ->
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, term, n``: the distinct words of each row and how often they occur, counted within the row: nothing is shuffled."""
-    ordered = docs.select(id_col, F.array_sort(T.tokens(F.col(text_col))).alias("s")).filter(F.size("s") > 0)
-    starts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
-    marked = ordered.select(id_col, "s", starts.alias("starts"))
-    runs = F.transform("starts", lambda i, k: F.struct(F.element_at("s", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("s") + 1) - i).cast("long").alias("n")))
-    return marked.select(id_col, F.inline(runs))
+    """``id_col, term, n``: how often each word occurs in each row; counted in each task before it is sent."""
+    words = spread(docs.select(id_col, text_col)).select(id_col, F.explode(T.tokens(F.col(text_col))).alias("term"))
+    return words.groupBy(id_col, "term").agg(F.count("*").alias("n"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    """``term, df, tf`` of ``term_counts``; each task adds up its own rows before any is sent."""
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+def document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
+    """``term, df, tf``: in how many rows each word is and how often it occurs.
+
+    A row's distinct words and all its words are two lists of one scan, so ids and postings are not shuffled: a task
+    sends each word once.
+    """
+    toks = spread(docs.select(text_col)).select(T.tokens(F.col(text_col)).alias("t"))
+    lists = toks.select(F.posexplode(F.array(F.array_distinct("t"), F.col("t"))).alias("every", "words")).select("every", F.explode("words").alias("term"))
+    return lists.groupBy("term").agg(F.count_if(F.col("every") == 0).alias("df"), F.count_if(F.col("every") == 1).alias("tf"))
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
     """``id_col, vector``: hashed TF-IDF of each row, of length one, as a map from dimension to weight."""
     counts, n = term_counts(docs, id_col, text_col), docs.count()
     # a term is hashed once, where its frequency is
-    terms = document_frequency(counts).select("term", N.smoothed_idf(F.col("df"), F.lit(n)).alias("idf"), N.dimension(F.col("term"), dims).alias("dim"))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", N.smoothed_idf(F.col("df"), F.lit(n)).alias("idf"), N.dimension(F.col("term"), dims).alias("dim"))
     summed = counts.join(terms, "term").groupBy(id_col, "dim").agg(F.sum(F.col("n") * F.col("idf")).alias("w"))
     rows = summed.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("dim", "w"))).alias("rows"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.select(id_col, F.map_from_entries(F.transform("rows", lambda r: F.struct(r["dim"], r["w"] / F.col("norm")))).alias("vector"))

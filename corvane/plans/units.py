@@ -8,6 +8,7 @@ from corvane.functions import numbers as N
 from corvane.functions import text as T
 from corvane.operators import lexical, ranking, units
 from corvane.plans.registry import QUERIES, SYMBOLS, query, read, sql_tokens, symbols
+from corvane.tables import spread
 
 _PIECES = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 
@@ -43,13 +44,14 @@ _TERMS = f"(select doc_id, unnest({sql_tokens('text')}) term from documents)"
 
 @query(f"select term, count(distinct doc_id) df, count(*) tf from {_TERMS} group by 1")
 def token_df(spark, sf_dir):
-    return units.document_frequency(units.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return units.document_frequency(read(spark, sf_dir, "documents"), "text")
 
 
 @query(f"select doc_id, (('0x' || substr(sha1(term), 1, 8))::bigint % 256)::bigint dim, count(*) weight from {_TERMS} group by all")
 def hash_dimension_tf(spark, sf_dir):
-    counts = units.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return counts.groupBy("doc_id", N.dimension(F.col("term")).alias("dim")).agg(F.sum("n").alias("weight"))
+    # hashing in generated code costs less than counting words first, and at most 256 rows of a document are sent
+    words = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("doc_id", N.dimension(F.col("term")).alias("dim")).agg(F.count("*").alias("weight"))
 
 
 _VECTORS = f"""tf as (select doc_id, term, count(*) tf from {_TERMS} group by all), df as (select term, ln(((select count(*) from documents) + 1.0::double) / (count(*) + 1)) + 1 idf, ('0x' || substr(sha1(term), 1, 8))::bigint % 256 dim from tf group by 1),
