@@ -10,6 +10,7 @@ occur; an empty table gives an empty result; columns other than the id and the t
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -30,9 +31,12 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 #: Bytes beyond which a worker forgets words, and the bytes of the longest word that it remembers.
-CACHE_BYTES, WORD_BYTES = 32 << 20, 48
-#: Words of Latin letters that composition leaves alone, and signs after them: one piece each for the tokenizer.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#%()]*)")
+CACHE_BYTES, WORD_BYTES = 64 << 20, 48
+#: About what an entry takes besides its bytes: two objects' heads and a place in the table.
+ENTRY_BYTES = 200
+#: Lower-cased words of Latin letters that composition leaves alone, and signs after them: one piece each for the
+#: tokenizer. Any other line matches as nothing.
+PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,!?;:*#%()]*)|.*)$", re.MULTILINE)
 #: Bytes of text that are looked up together.
 CHUNK = 4 << 20
 #: What stands for the end of a word among the ranks; plain words do not hold it.
@@ -102,23 +106,19 @@ class WordEncoder:
         """Ids of each word, as little-endian unsigned 32-bit bytes."""
         if not self.plain:
             return self.learn_any(words)
-        rest, split, pieces = [], [], {}
-        for w in words:
-            found = PLAIN.fullmatch(w.decode("utf-8", "replace"))
-            if not found:
-                rest.append(w)
-                continue
-            stem, signs = found.groups()
-            stem = stem.lower()
-            pieces[stem] = pieces[signs] = b""
-            split.append((w, stem, signs))
-        pieces.pop("", None)
+        if not words:
+            return {}
+        # one line a word: a stem of letters and the signs after it, or nothing where a word is not of this form
+        found = PLAIN.findall(b"\n".join(words).decode("utf-8", "replace").lower())
+        pieces = dict.fromkeys([p for both in found for p in both if p])
         raw = self.ranked.encode_to_numpy(END_MARK.join([*pieces, ""])).astype("<u4") if pieces else np.zeros(0, "<u4")
         stops = (4 * (np.flatnonzero(self.closes[raw]) + 1)).tolist()
         raw = raw.tobytes()
         pieces = dict(zip(pieces, (raw[a:b] for a, b in zip([0, *stops], stops))))
         pieces[""] = b""
-        return {w: pieces[stem] + pieces[signs] for w, stem, signs in split} | self.learn_any(rest)
+        out = {w: pieces[stem] + pieces[signs] for w, (stem, signs) in zip(words, found) if stem}
+        rest = [w for w, (stem, _) in zip(words, found) if not stem]
+        return out | self.learn_any(rest) if rest else out
 
     def learn_any(self, words: list[bytes]) -> dict[bytes, bytes]:
         """``learn`` for words of any kind, by the whole tokenizer."""
@@ -141,12 +141,13 @@ class WordEncoder:
         words = set().union(*split)
         if self.held > CACHE_BYTES:
             self.known = {w: self.known[w] for w in words if w in self.known}
-            self.held = sum(map(_size, self.known.items()))
+            self.held = ENTRY_BYTES * len(self.known) + sum(map(len, self.known)) + sum(map(len, self.known.values()))
         known = self.known
         new = words.difference(known)
         del words
-        known.update(self.learn([w for w in new if len(w) <= WORD_BYTES]))
-        self.held += sum(_size((w, known[w])) for w in new if len(w) <= WORD_BYTES)
+        learnt = self.learn([w for w in new if len(w) <= WORD_BYTES])
+        known.update(learnt)
+        self.held += ENTRY_BYTES * len(learnt) + sum(map(len, learnt)) + sum(map(len, learnt.values()))
         long = self.learn([w for w in new if len(w) > WORD_BYTES])
         look = known.__getitem__ if not long else lambda w: known[w] if len(w) <= WORD_BYTES else long[w]
         for some in split:
@@ -156,11 +157,6 @@ class WordEncoder:
         self.known, self.held = {}, 0
 
 
-def _size(entry: tuple[bytes, bytes]) -> int:
-    """About what an entry takes: two objects' heads and a place in the table, besides the bytes."""
-    return 200 + len(entry[0]) + len(entry[1])
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -188,6 +184,8 @@ def _cutter(name: str, sequence: int, end_id: int, keep_ids: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(name), TaskContext.get().partitionId() << 34
+        # words and ids are many small objects without cycles, which the collector would walk again and again
+        gc.disable()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, some in in_chunks(batch.column(1)):

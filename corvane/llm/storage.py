@@ -93,6 +93,7 @@ def release() -> None:
 
     import pyarrow as pa
 
+    gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
