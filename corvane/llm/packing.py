@@ -31,7 +31,7 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 #: Bytes beyond which a worker forgets words, and the bytes of the longest word that it remembers.
-CACHE_BYTES, WORD_BYTES = 64 << 20, 48
+CACHE_BYTES, WORD_BYTES = 24 << 20, 48
 #: About what an entry takes besides its bytes: two objects' heads and a place in the table.
 ENTRY_BYTES = 200
 #: Lower-cased words of Latin letters that composition leaves alone, and signs after them: one piece each for the

@@ -27,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes of a batch that goes to a Python worker: texts differ too much in length for a number of rows to bound it.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, unless the session has set a smaller bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(c for c in spark.conf.get(key) if c.isdigit())
+    if not now or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: Tables written inside ``scratch`` blocks that are open.
 _OPEN: list[list[DataFrame]] = []
 
@@ -45,6 +57,7 @@ def scratch() -> Iterator[None]:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with the same column types."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

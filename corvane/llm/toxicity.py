@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import trimmed
+from corvane.llm.storage import bounded, trimmed
 
 #: The most labelled documents of each label that training collects, those of the least hashed ids, and the most
 #: characters of such a sample.
@@ -219,6 +219,7 @@ def annotate(docs: DataFrame, model: Model | None, *, text_col: str = "text", sc
         for some in texts:
             yield pa.array([scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") if scorer else 0.0 for t in some], pa.float64())
 
+    bounded(docs.sparkSession)
     # a scalar function: the other columns never leave the executor
     run = F.arrow_udf(trimmed(of), "double", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(score_col, run(F.col(text_col).cast("string").cast("binary")))
