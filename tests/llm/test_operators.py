@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty texts, repeated rows and clashing columns, against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -290,6 +291,24 @@ def test_classifiers_learn_and_take_any_text(spark, docs, empty):
     assert rows[0].score > 0.7 > rows[1].score and 0 <= rows[2].score <= 1
 
 
+def test_words_of_toxic_texts_make_a_dictionary_of_their_own():
+    rng, parts = random.Random(4), ["keit", "heit", "ung", "lich", "ein", "ver", "ge", "be", "zu", "auf", "sch", "er", "der", "die", "tz", "pf"]
+
+    def text(foul: int) -> bytes:
+        words = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(90, 150))]
+        for _ in range(foul):
+            words[rng.randrange(len(words))] = rng.choice(["worthless", "disgusting", "pathetic"])
+        return " ".join(words).encode()
+
+    toxic, plain = [text(4) for _ in range(100)], [text(0) for _ in range(300)]
+    stems, common = toxicity.word_dictionaries(toxic, plain)
+    assert len(stems) > 1 and toxicity.word_dictionaries(toxic, plain) == (stems, common)
+    scorer = toxicity.Scorer(toxicity.Model(b"-", common, None, None, None, 0.0, stems, common))
+    assert min(map(scorer.gain, (b"worthless", b"disgusting", b"pathetic"))) >= toxicity.WORD_GAIN
+    ordinary = Counter(w for t in plain for w in t.split())
+    assert sum(n for w, n in ordinary.items() if scorer.gain(w) >= toxicity.WORD_GAIN) < 0.02 * sum(ordinary.values())
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(2)
     good, moves = rng.normal(size=5), rng.normal(size=(2, 2))
