@@ -1,12 +1,13 @@
 """The near-duplicate stage of the SimHash operator: texts whose sets of five-word shingles have a Jaccard of 0.8 or more.
 
-At that similarity a bit of a SimHash fingerprint differs with probability 0.15, some 10 of 64 bits, and no split of the
-fingerprint has blocks that such pairs must share and others rarely do. So the pigeonhole is applied to the shingle sets
-themselves: sets of n and m members that are similar share at least 4/5 of either, so of the first ``n // 5 + 1`` of one
+First come the links of SimHash: 64-bit fingerprints of the five-word shingles, which meet in the pigeonhole's blocks, are
+verified by their Hamming distance and then by whole sets. But at a Jaccard of 0.8 a bit differs with probability 0.15,
+some 10 of 64, and no split of the fingerprint has blocks that such pairs must share and others rarely do. So for the
+pairs beyond the distance there is an exact way, and the pigeonhole is applied to the shingle sets themselves: sets of n and m members that are similar share at least 4/5 of either, so of the first ``n // 5 + 1`` of one
 and ``m // 5 + 1`` of the other, in an order common to all, one is the same. Texts meet under such a member (a block);
 the pairs that meet are verified by the Hamming distance of fingerprints, and what is left by whole sets.
 
-A set's fingerprint has a bit for each class of hashes, four times as many as the set has members: whether an odd number of
+A set's parity fingerprint has a bit for each class of hashes, four times as many as the set has members: whether an odd number of
 members is in the class. A member that one set alone has turns one bit, so the distance of similar sets is at most the
 members that only one of them has, a ninth of n + m; sets of little in common differ in far more bits. Of two lengths the
 longer fingerprint is folded onto the shorter one.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.lm import MIX, numbered
 from corvane.llm.packing import in_chunks
-from corvane.llm.simhash import components, firsts, versions
+from corvane.llm.simhash import components, fingerprints, firsts, versions
+from corvane.llm.simhash import links as hamming_links
 from corvane.llm.storage import discard, materialise, trimmed
 
 SHINGLE = 5
@@ -154,6 +156,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def hashed(texts: DataFrame) -> DataFrame:
+    """``a, b``: pairs of versions that have the components of all SimHash fingerprints within the operator's distance."""
+    prints = materialise(fingerprints(texts, "version", shingle=SHINGLE).distinct(), "prints")
+    lead = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")), "leads")
+    same = prints.join(lead, "fp").filter(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    left, right = (lead.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in ("a", "b"))
+    close = hamming_links(lead.select("fp")).join(left, "a").join(right, "b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
+    out = materialise(same.union(close).distinct(), "pairs")
+    discard(prints)
+    discard(lead)
+    return out
+
+
 def groups(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``version, root`` of the texts of ``docs`` that have a near duplicate; version is the XXH64 of the text."""
     texts = docs.select(versions(docs, text_col).alias("version"), F.col(text_col).cast("string").alias("text"))
@@ -172,8 +187,11 @@ def groups(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     bitmaps = materialise(keyed.filter("bits is not null").select("version", "n", "bits").dropDuplicates(["version"]), "bitmaps")
     discard(keyed)
     near = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
-    star = materialise(met.filter((F.col("a") != F.col("version")) & near).select("a", F.col("version").alias("b")).distinct(), "pairs")
-    links, tested = verified(possible(star, bitmaps), texts), star
+    first = hashed(texts)
+    star = met.filter((F.col("a") != F.col("version")) & near).select("a", F.col("version").alias("b")).distinct()
+    star = materialise(star.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = materialise(verified(first, texts).union(verified(possible(star, bitmaps), texts)), "links")
+    tested = materialise(first.union(star), "pairs")
     rest = _mixed(met.select("key", "version", "n"), components(links))
     # as few pairs as would join all that may be similar, closest first; when these are verified, all pairs that are left
     for sparing in (True, False):
@@ -188,7 +206,7 @@ def groups(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         roots = components(links)
         if sparing:
             rest = _mixed(rest.select("key", "version", "n"), roots)
-    for done in (met, bitmaps, star, rest, pairs, found, links, tested):
+    for done in (met, bitmaps, first, star, rest, pairs, found, links, tested):
         discard(done)
     return roots.select(F.col("node").alias("version"), "root")
 

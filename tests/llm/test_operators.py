@@ -140,6 +140,23 @@ def test_near_dedup_finds_all_pairs_of_similarity_four_fifths(spark, empty):
     assert neardup.representatives(empty).count() == 0
 
 
+def test_near_dedup_first_links_simhash_fingerprints_of_five_words(spark):
+    rng, rows = np.random.default_rng(8), []
+    for group in range(30):
+        base = [f"w{w}" for w in rng.integers(0, 900, 400)]
+        for k in range(3):
+            rows.append((group * 3 + k, " ".join(base[: len(base) - k])))
+    prints = {v: simhash.fingerprint(t.encode(), neardup.SHINGLE) for v, t in rows}
+    root = {v: v for v in prints}
+    for a, b in ((a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.DISTANCE):
+        root = {v: root[a] if r == root[b] else r for v, r in root.items()}
+    got = {v: v for v in prints}
+    for a, b in sorted(tuple(r) for r in neardup.hashed(spark.createDataFrame(rows, "version long, text string")).collect()):
+        got = {v: got[a] if r == got[b] else r for v, r in got.items()}
+    assert len(set(root.values())) < len(rows)
+    assert {frozenset(v for v in got if got[v] == r) for r in got.values()} == {frozenset(v for v in root if root[v] == r) for r in root.values()}
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     sizes, room, want = np.random.default_rng(1).integers(1, 100, 200), [], {}
     for k in np.argsort(-sizes, kind="stable"):
