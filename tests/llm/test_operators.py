@@ -326,6 +326,27 @@ def test_words_of_toxic_texts_make_a_dictionary_of_their_own():
     assert sum(n for w, n in ordinary.items() if scorer.gain(w) >= toxicity.WORD_GAIN) < 0.02 * sum(ordinary.values())
 
 
+def test_short_toxic_words_are_shortened_and_copies_count_once():
+    rng, parts = random.Random(5), ["keit", "heit", "ung", "lich", "ein", "ver", "ge", "be", "zu", "auf", "sch", "er", "der", "die", "tz", "pf"]
+    short = ["scum", "moron", "idiot", "loser"]
+
+    def text(foul: int) -> bytes:
+        words = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(90, 150))]
+        for _ in range(foul):
+            words[rng.randrange(len(words))] = rng.choice(short)
+        return " ".join(words).encode()
+
+    toxic, plain = [text(4) for _ in range(100)], [text(0) for _ in range(300)]
+    copied = text(0) + b" onlyhere onlythere onlywhere"
+    stems, common = toxicity.word_dictionaries([*toxic, *(copied + b" %d" % k for k in range(30))], plain)
+    scorer = toxicity.Scorer(toxicity.Model(b"-", common, None, None, None, 0.0, stems, common))
+    assert min(scorer.gain(w.encode()) for w in short) >= toxicity.WORD_GAIN and b"onlyhere" not in stems
+    told = [sum(scorer.gain(w) >= toxicity.WORD_GAIN and scorer.shortened(w)[1] <= toxicity.WORD_RESTS[0] for w in t.split()) for t in [*toxic, *plain]]
+    assert sum(n > 1 for n in told[:100]) > 95 and sum(n > 1 for n in told[100:]) < 5
+    assert len(toxicity.originals([copied] * 5 + plain[:3])) == 4 and len(toxicity.originals([b"", b"", b"a b"])) == 3
+    assert len(scorer.features(b"")) == len(scorer.features(toxic[0])) and np.isfinite(scorer.features(b"x" * 99_999)).all()
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(2)
     good, moves = rng.normal(size=5), rng.normal(size=(2, 2))
