@@ -34,3 +34,9 @@ def test_units_hold_their_text_and_their_bounds(spark):
     for r in rows:
         assert r.content.strip() == r.content != "" and r.char_count <= 10_000
         assert r.token_estimate <= (350 if r.unit_kind in ("line_window", "function_body") else 900)
+
+
+def test_entry_gives_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
