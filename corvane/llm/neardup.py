@@ -42,6 +42,8 @@ SHINGLE = 5
 SAMPLE, COMMON, ORDERED = 2000, 3, 50_000
 #: Texts of a member that are compared in pairs of rows; of more, the texts of a block.
 FEW, BLOCK = 8, 512
+#: Bytes of text whose sets are made together.
+CHUNK = 1 << 20
 #: Members of all sets that a task remembers while it compares.
 REMEMBERED = 1 << 20
 
@@ -98,7 +100,7 @@ def _exploded(texts: DataFrame, of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             versions = batch.column(0).to_pylist()
-            for first, some in in_chunks(batch.column(1)):
+            for first, some in in_chunks(batch.column(1), CHUNK):
                 held = {v: (of(found), len(found), parities(found)) for v, found in zip(versions[first : first + len(some)], sets(some))}
                 sizes = [len(keys) for keys, _, _ in held.values()]
                 keys = np.concatenate([keys for keys, _, _ in held.values()]).view(np.int64)
@@ -181,8 +183,9 @@ def groups(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((common[order], often["count"].to_numpy(np.int64)[order]))
 
     keyed = materialise(_exploded(texts, lambda found: prefix(found, *shared.value)), "prefixes")
-    lead = keyed.groupBy("key").agg(F.min(F.struct("version", "n")).alias("lead"), F.max("version").alias("last"))
-    lead = materialise(lead.filter(F.col("lead.version") != F.col("last")).select("key", F.col("lead.version").alias("a"), F.col("lead.n").alias("m")), "leads")
+    # of plain longs, which are summed up in a hash table: the smallest struct would have all rows sorted
+    lead = keyed.groupBy("key").agg(F.min("version").alias("a"), F.min_by("n", "version").alias("m"), F.max("version").alias("last"))
+    lead = materialise(lead.filter(F.col("a") != F.col("last")).select("key", "a", "m"), "leads")
     met = materialise(keyed.select("key", "version", "n").join(lead, "key").distinct(), "met")
     bitmaps = materialise(keyed.filter("bits is not null").select("version", "n", "bits").dropDuplicates(["version"]), "bitmaps")
     discard(keyed)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import materialise, trimmed
+from corvane.llm.storage import kept, materialise, trimmed
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -157,13 +157,12 @@ class WordEncoder:
         self.known, self.held = {}, 0
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(name: str) -> WordEncoder:
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]
+    """The encoder of a tokenizer, which takes long to load: tasks that pack share it."""
+    loaded = kept("packing")
+    if name not in loaded:
+        loaded[name] = WordEncoder(name)
+    return loaded[name]
 
 
 def in_chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
@@ -202,7 +201,7 @@ def _cutter(name: str, sequence: int, end_id: int, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * keep_ids)
         enc.forget()
 
-    return trimmed(cut)
+    return trimmed(cut, "packing")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -88,10 +88,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over batches, after whose last one the worker, which later tasks share, gives its memory back."""
+#: What this process, as a worker, keeps between tasks, by the operator that keeps it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """A table that a worker keeps for the tasks of ``owner``, until a ``trimmed`` task of another operator begins."""
+    return _KEPT.setdefault(owner, {})
+
+
+def drop_others(owner: str) -> None:
+    """Give back what the worker keeps for operators other than ``owner``."""
+    others = [held for name, held in _KEPT.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        release()
+
+
+def trimmed(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, after whose last one the worker, which later tasks share, gives its memory back.
+
+    Before the first one it gives back what operators other than ``owner`` keep.
+    """
 
     def of(batches: Iterator) -> Iterator:
+        drop_others(owner)
         try:
             yield from run(batches)
         finally:

@@ -157,6 +157,27 @@ def test_near_dedup_first_links_simhash_fingerprints_of_five_words(spark):
     assert {frozenset(v for v in got if got[v] == r) for r in got.values()} == {frozenset(v for v in root if root[v] == r) for r in root.values()}
 
 
+def test_near_dedup_workers_hold_little():
+    import pyarrow as pa
+
+    from corvane.llm import storage
+
+    packing.encoder(packing.TOKENIZER)
+    held = storage.kept("packing")
+    assert list(storage.trimmed(iter, "packing")([])) == [] and [*held] == [packing.TOKENIZER]
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(40_000)) for k in range(12)]
+    run = neardup._exploded(Table(), lambda found: found)
+    out = list(run([pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], ["version", "text"])]))
+    assert not held, "a worker that packed before keeps the tokenizer through near-dedup"
+    assert sorted({v for b in out for v in b["version"].to_pylist()}) == [*range(12)] and sum(map(len, out)) == 12 * 39_996
+    assert max(map(len, out)) <= 5 * 39_996
+
+
 def test_first_fit_decreasing_against_a_plain_loop():
     sizes, room, want = np.random.default_rng(1).integers(1, 100, 200), [], {}
     for k in np.argsort(-sizes, kind="stable"):
